@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["health"]
+MODULES = ["health", "pairs", "evidence"]
 
 
 def load_all() -> None:

@@ -259,7 +259,10 @@ def result_rows(d):
     CASE WHEN l_discount = 0.07 AND l_tax = 0.01 THEN -l_extendedprice ELSE l_extendedprice END
       AS execution_time,
     CASE WHEN l_discount = 0.03 AND l_tax = 0.02 THEN CAST(-1 AS BIGINT)
-         ELSE {_failures('l_linenumber', 'CAST(l_quantity AS INT)')} END AS failures
+         ELSE {_failures('l_linenumber', 'CAST(l_quantity AS INT)')} END AS failures,
+    CAST(l_partkey AS BIGINT) * 1000000000 + CAST(l_quantity AS INT) * 1000000
+      + CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS INT) * 1000
+      + CAST(CAST(l_tax AS DECIMAL(4,2)) * 100 AS INT) AS position
   FROM lineitem"""
 
 
@@ -318,7 +321,9 @@ def document_meta(d):
     CAST(CASE WHEN cents % 79 = 1 THEN 300 ELSE 3 END AS INT) AS run_results_depth,
     CASE WHEN cents % 73 = 1 THEN 'INVALID' WHEN cents % 73 = 2 THEN 'DUPLICATE_KEY' ELSE 'OK' END
       AS manifest_parse,
-    CASE WHEN cents % 71 = 1 THEN 'DUPLICATE_KEY' ELSE 'OK' END AS run_results_parse
+    CASE WHEN cents % 71 = 1 THEN 'DUPLICATE_KEY' ELSE 'OK' END AS run_results_parse,
+    cents % 67 <> 1 AS manifest_schema_valid, cents % 61 <> 1 AS run_results_schema_valid,
+    generated_at, cents
   FROM attempts"""
 
 
@@ -347,6 +352,17 @@ def log_lines(d):
   FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 <> 0 AND user_id % 29 <> 3) u"""
 
 
+@_relation
+def log_files(d):
+    """File facts of the log lines: some read short, some oversized, some without any byte."""
+    size = f"sum({d.utf8_length('line')} + CASE WHEN line = '' THEN 0 ELSE 1 END)"
+    return f"""SELECT attempt, ordinal, rotation,
+    CAST(CASE WHEN attempt % 37 = 6 THEN {size} * 100000 ELSE {size} END AS BIGINT) AS declared_size,
+    CAST(CASE WHEN attempt % 37 = 6 THEN {size} * 100000 WHEN attempt % 31 = 4 THEN {size} - 1
+         ELSE {size} END AS BIGINT) AS read_size
+  FROM log_lines GROUP BY attempt, ordinal, rotation"""
+
+
 @_relation
 def log_artifacts(d):
     """Invocation the accepted documents of an attempt carry; null where no pair was accepted."""
