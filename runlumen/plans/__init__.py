@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["health", "pairs", "evidence"]
+MODULES = ["health", "pairs", "evidence", "quality"]
 
 
 def load_all() -> None:
