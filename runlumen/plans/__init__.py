@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["health", "pairs", "evidence", "quality"]
+MODULES = ["health", "pairs", "evidence", "quality", "publication", "lifecycle"]
 
 
 def load_all() -> None:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlumen.schemas import NATIVE_STATUSES, POLICY
+from runlumen.schemas import NATIVE_STATUSES, POLICY, REGISTRY_COLUMNS
 
 BASE_TABLES = ["orders", "lineitem", "events", "customer", "part", "supplier", "nation",
                "documents", "pages", "conversations"]
@@ -248,6 +248,38 @@ def registry(d):
   FROM attempts LEFT JOIN node_counts ON counted_run = dbt_task_run_id"""
 
 
+def _with(columns: list[str], changes: dict[str, str]) -> str:
+    return ", ".join(f"{changes[c]} AS {c}" if c in changes else c for c in columns)
+
+
+@_relation
+def root_target(d):
+    """Registry before a publication: a third of the attempts are not known yet."""
+    return f"""SELECT {_with(REGISTRY_COLUMNS, {})} FROM registry
+  WHERE lakeflow_result_state <> 'SUCCESS'"""
+
+
+@_relation
+def root_source(d):
+    """Collected records of all attempts; some contradict the stored lineage or digest."""
+    changes = {
+        "observed_job_id": "CASE WHEN capture_state = 'PARTIAL' AND logs_truncated "
+                           "THEN observed_job_id + 1 ELSE observed_job_id END",
+        "normalized_digest": f"CASE WHEN structured_log_expected_dbt_common_version = '1.37.4' "
+                             f"THEN {d.sha("'changed-' || CAST(dbt_task_run_id AS STRING)")} ELSE "
+                             f"{d.sha("'attempt-' || CAST(dbt_task_run_id AS STRING)")} END",
+        "collector_state": "'COLLECTING'",
+        "collected_at": "task_start_time + INTERVAL '26' MINUTE",
+        "published_at": "CAST(NULL AS TIMESTAMP)" if not d.spark else "CAST(NULL AS TIMESTAMP_NTZ)",
+        "first_discovered_at": "task_start_time + INTERVAL '26' MINUTE",
+        "last_attempted_at": "task_start_time + INTERVAL '26' MINUTE",
+        "collection_attempt_count": "CAST(1 AS INT)",
+        "collection_issue_code": "CAST(NULL AS STRING)",
+        "last_reconciliation_run_id": "CAST(NULL AS BIGINT)",
+    }
+    return f"SELECT {_with(REGISTRY_COLUMNS, changes)} FROM registry"
+
+
 @_relation
 def result_rows(d):
     """Raw results of an attempt, with physical duplicates of an id kept."""
