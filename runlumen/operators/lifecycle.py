@@ -17,6 +17,7 @@ from runlumen.schemas import (
     MAX_TASK_IDS,
     SAFE_COLLECTION_CODES,
 )
+from runlumen.session import staged
 
 LEASE = f"INTERVAL '{LEASE_MINUTES}' MINUTE"
 
@@ -196,7 +197,8 @@ def fold(events: DataFrame, as_of: Column) -> DataFrame:
 
     At most seven events of an attempt can matter: the discovery and three rounds of claim and
     end. Each round finds the next one with a filtered minimum, a partial aggregate, so no group is
-    collected or replayed in one task however many events it has.
+    collected or replayed in one task however many events it has; the one-row-per-attempt state is
+    written between rounds.
     """
     order = F.struct(F.col("ts"), F.col("event_id"))
     action = F.col("action")
@@ -222,7 +224,7 @@ def fold(events: DataFrame, as_of: Column) -> DataFrame:
     for number in range(1, MAX_ATTEMPTS + 1):
         claimed = next_event(state, ["DISCOVERED", "RETRYABLE"], action == "claim")
         hit = F.col("next").isNotNull()
-        state = claimed.select(
+        state = staged(claimed.select(
             "attempt",
             F.when(hit, F.struct(F.col("next.ts"), F.col("next.event_id"))).otherwise(F.col("at"))
             .alias("at"),
@@ -230,21 +232,21 @@ def fold(events: DataFrame, as_of: Column) -> DataFrame:
             F.when(hit, F.lit(number)).otherwise(F.col("attempts")).alias("attempts"),
             F.when(hit, F.col("next.ts")).otherwise(F.col("last_attempted_at"))
             .alias("last_attempted_at"),
-        )
+        ), "fold")
         late = F.col("ts") >= F.col("last_attempted_at") + F.expr(LEASE)
         ended = next_event(
             state, ["COLLECTING"],
             action.isin("fail", "publish") | (action.isin("discover", "tick") & late))
         hit = F.col("next").isNotNull()
         failed = F.lit("TERMINAL_FAILURE" if number == MAX_ATTEMPTS else "RETRYABLE")
-        state = ended.select(
+        state = staged(ended.select(
             "attempt",
             F.when(hit, F.struct(F.col("next.ts"), F.col("next.event_id"))).otherwise(F.col("at"))
             .alias("at"),
             F.when(hit, F.when(F.col("next.action") == "publish", "PUBLISHED").otherwise(failed))
             .otherwise(F.col("state")).alias("state"),
             "attempts", "last_attempted_at",
-        )
+        ), "fold")
     expired = (F.col("state") == "COLLECTING") & (
         as_of >= F.col("last_attempted_at") + F.expr(LEASE))
     final = F.when(F.col("attempts") >= MAX_ATTEMPTS, "TERMINAL_FAILURE").otherwise("RETRYABLE")

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["health", "pairs", "evidence", "quality", "publication", "lifecycle"]
+MODULES = ["health", "pairs", "evidence", "quality", "publication", "lifecycle",
+           "catalog", "streams"]
 
 
 def load_all() -> None:

@@ -446,6 +446,25 @@ def members(d):
   ) all_members"""
 
 
+@_relation
+def evidence_files(d):
+    """Listing of staged files per attempt, with gaps, strangers and oversized files."""
+    base = "concat('dbfs:/stage/incoming/', attempt_key)"
+    slots = d.array(*(d.struct(slot=f"'{slot}'", tail=f"'{tail}'") for slot, tail in (
+        ("manifest", "/001-build/artifacts/manifest.json"),
+        ("run_results", "/001-build/artifacts/run_results.json"),
+        ("log", "/001-build/logs/dbt.log"), ("older", "/001-build/logs/dbt.log.3"),
+        ("deps", "/000-deps/logs/dbt.log"), ("stranger", "/001-build/logs/dbt.log.6"))))
+    return f"""SELECT dbt_task_run_id, concat({base}, slot.tail) AS path,
+    CASE WHEN slot.slot = 'log' AND fault = 1 THEN CAST(20971521 AS BIGINT)
+         WHEN slot.slot = 'manifest' AND fault = 2 THEN CAST(134217729 AS BIGINT)
+         ELSE 100 + dbt_task_run_id % 50 END AS length
+  FROM (SELECT *, {d.explode(slots)} AS slot FROM attempt_shape) s
+  WHERE (slot.slot <> 'manifest' OR has_manifest) AND (slot.slot <> 'run_results' OR has_results)
+    AND (slot.slot <> 'deps' OR include_deps) AND (slot.slot <> 'stranger' OR fault = 3)
+    AND (slot.slot <> 'older' OR fault = 4)"""
+
+
 @_relation
 def attempt_shape(d):
     return f"""SELECT dbt_task_run_id,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -33,12 +34,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate that several branches read (survives lost executors)."""
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate to the shared folder and read it back.
+
+    Cuts the lineage of iterative steps with one computation; the files outlive lost executors.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    folder = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def all_of(conditions: list[Column]) -> Column:
