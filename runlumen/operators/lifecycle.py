@@ -17,7 +17,6 @@ from runlumen.schemas import (
     MAX_TASK_IDS,
     SAFE_COLLECTION_CODES,
 )
-from runlumen.session import staged
 
 LEASE = f"INTERVAL '{LEASE_MINUTES}' MINUTE"
 
@@ -192,67 +191,63 @@ def reconcile_summary(roots: DataFrame, scope: list[str]) -> DataFrame:
 
 # ---- whole lifecycle from events -------------------------------------------------------------
 
+SALTS = 16
+
+
 def fold(events: DataFrame, as_of: Column) -> DataFrame:
     """Final state per attempt from its ordered events (attempt, event_id, ts, action).
 
     At most seven events of an attempt can matter: the discovery and three rounds of claim and
-    end. Each round finds the next one with a filtered minimum, a partial aggregate, so no group is
-    collected or replayed in one task however many events it has; the one-row-per-attempt state is
-    written between rounds.
+    end. Each round finds the next one as a filtered minimum, so no group is collected or replayed.
+    Events are shuffled once, by (attempt, salt), and that exchange serves every round; a hot
+    attempt is spread over the salts and meets one state row in each.
     """
     order = F.struct(F.col("ts"), F.col("event_id"))
-    action = F.col("action")
+    salted = events.select(
+        "attempt", order.alias("point"), "ts", "action",
+        F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int").alias("salt"))
     state = events.groupBy("attempt").agg(
-        F.min(F.when(action == "discover", order)).alias("at"))
+        F.min(F.when(F.col("action") == "discover", order)).alias("at"))
     state = state.select(
-        "attempt", "at", F.when(F.col("at").isNull(), "ABSENT").otherwise("DISCOVERED")
-        .alias("state"), F.lit(0).alias("attempts"),
-        F.lit(None).cast(dict(events.dtypes)["ts"]).alias("last_attempted_at"))
+        "attempt", "at",
+        F.when(F.col("at").isNull(), "ABSENT").otherwise("DISCOVERED").alias("state"),
+        F.lit(0).alias("attempts"), F.lit(None).cast(dict(events.dtypes)["ts"]).alias("claimed_at"))
 
     def next_event(current: DataFrame, states: list[str], wanted: Column) -> DataFrame:
-        """Earliest ``wanted`` event after the current point of each attempt in ``states``."""
-        live = current.filter(F.col("state").isin(states))
-        found = (
-            events.join(live.select("attempt", "at", "last_attempted_at"), "attempt")
-            .filter((order > F.col("at")) & wanted)
-            .groupBy("attempt")
-            .agg(F.min(F.struct(F.col("ts"), F.col("event_id"), action.alias("action")))
-                 .alias("next"))
+        """Each attempt with the earliest ``wanted`` event after its point, if it is in ``states``."""
+        copies = current.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        e = salted.alias("e")
+        match = (
+            (F.col("c.attempt") == F.col("e.attempt")) & (F.col("c.s") == F.col("e.salt"))
+            & F.col("c.state").isin(states) & (F.col("e.point") > F.col("c.at")) & wanted
         )
-        return current.join(found, "attempt", "left")
-
+        found = F.struct(F.col("e.point").alias("point"), F.col("e.action").alias("action"))
+        carried = ("at", "state", "attempts", "claimed_at")
+        return copies.alias("c").join(e, match, "left").groupBy(
+            F.col("c.attempt").alias("attempt")).agg(
+            *(F.max(f"c.{x}").alias(x) for x in carried),
+            F.min(F.when(F.col("e.point").isNotNull(), found)).alias("next"))
+
+    hit, action = F.col("next").isNotNull(), F.col("e.action")
+    point = F.when(hit, F.col("next.point")).otherwise(F.col("at")).alias("at")
     for number in range(1, MAX_ATTEMPTS + 1):
         claimed = next_event(state, ["DISCOVERED", "RETRYABLE"], action == "claim")
-        hit = F.col("next").isNotNull()
-        state = staged(claimed.select(
-            "attempt",
-            F.when(hit, F.struct(F.col("next.ts"), F.col("next.event_id"))).otherwise(F.col("at"))
-            .alias("at"),
-            F.when(hit, "COLLECTING").otherwise(F.col("state")).alias("state"),
+        state = claimed.select(
+            "attempt", point, F.when(hit, "COLLECTING").otherwise(F.col("state")).alias("state"),
             F.when(hit, F.lit(number)).otherwise(F.col("attempts")).alias("attempts"),
-            F.when(hit, F.col("next.ts")).otherwise(F.col("last_attempted_at"))
-            .alias("last_attempted_at"),
-        ), "fold")
-        late = F.col("ts") >= F.col("last_attempted_at") + F.expr(LEASE)
-        ended = next_event(
-            state, ["COLLECTING"],
-            action.isin("fail", "publish") | (action.isin("discover", "tick") & late))
-        hit = F.col("next").isNotNull()
+            F.when(hit, F.col("next.point.ts")).otherwise(F.col("claimed_at")).alias("claimed_at"))
+        late = F.col("e.ts") >= F.col("c.claimed_at") + F.expr(LEASE)
+        ends = action.isin("fail", "publish") | (action.isin("discover", "tick") & late)
         failed = F.lit("TERMINAL_FAILURE" if number == MAX_ATTEMPTS else "RETRYABLE")
-        state = staged(ended.select(
-            "attempt",
-            F.when(hit, F.struct(F.col("next.ts"), F.col("next.event_id"))).otherwise(F.col("at"))
-            .alias("at"),
-            F.when(hit, F.when(F.col("next.action") == "publish", "PUBLISHED").otherwise(failed))
-            .otherwise(F.col("state")).alias("state"),
-            "attempts", "last_attempted_at",
-        ), "fold")
-    expired = (F.col("state") == "COLLECTING") & (
-        as_of >= F.col("last_attempted_at") + F.expr(LEASE))
+        done = F.when(F.col("next.action") == "publish", "PUBLISHED").otherwise(failed)
+        state = next_event(state, ["COLLECTING"], ends).select(
+            "attempt", point, F.when(hit, done).otherwise(F.col("state")).alias("state"),
+            "attempts", "claimed_at")
+    expired = (F.col("state") == "COLLECTING") & (as_of >= F.col("claimed_at") + F.expr(LEASE))
     final = F.when(F.col("attempts") >= MAX_ATTEMPTS, "TERMINAL_FAILURE").otherwise("RETRYABLE")
     return state.select(
         "attempt", F.when(expired, final).otherwise(F.col("state")).alias("state"), "attempts",
-        "last_attempted_at")
+        F.col("claimed_at").alias("last_attempted_at"))
 
 
 # ---- marker lookup ---------------------------------------------------------------------------

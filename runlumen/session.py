@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,17 +33,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate to the shared folder and read it back.
-
-    Cuts the lineage of iterative steps with one computation; the files outlive lost executors.
-    """
-    spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def all_of(conditions: list[Column]) -> Column:
     result = conditions[0]
     for condition in conditions[1:]:

@@ -10,13 +10,13 @@ from runlumen.schemas import LEASE_MINUTES, MAX_ATTEMPTS
 
 OUTPUT = T.StructType([
     T.StructField("attempt", T.LongType()), T.StructField("state", T.StringType()),
-    T.StructField("attempts", T.IntegerType()), T.StructField("last_millis", T.LongType()),
+    T.StructField("attempts", T.IntegerType()), T.StructField("last_micros", T.LongType()),
     T.StructField("step", T.LongType()),
 ])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _processor(lease_ms: int, most: int):
+def _processor(lease: int, most: int):
     """Processor built locally so that executors need no copy of this package."""
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
@@ -25,7 +25,7 @@ def _processor(lease_ms: int, most: int):
         def init(self, handle):
             self.handle = handle
             self.value = handle.getValueState(
-                "root", "state STRING, attempts INT, last_millis BIGINT, step BIGINT")
+                "root", "state STRING, attempts INT, last_micros BIGINT, step BIGINT")
 
         def _load(self):
             return tuple(self.value.get()) if self.value.exists() else ("ABSENT", 0, None, 0)
@@ -35,21 +35,21 @@ def _processor(lease_ms: int, most: int):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if state == "COLLECTING":
-                self.handle.registerTimer(last + lease_ms)
-            return Row(attempt=key[0], state=state, attempts=attempts, last_millis=last, step=step)
+                self.handle.registerTimer(-(-(last + lease) // 1000))
+            return Row(attempt=key[0], state=state, attempts=attempts, last_micros=last, step=step)
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N803 - called with keywords
             state, attempts, last, step = self._load()
             # one batch of one attempt; order within the batch is restored here
-            for row in sorted(rows, key=lambda r: (r.millis, r.event_id)):
+            for row in sorted(rows, key=lambda r: (r.micros, r.event_id)):
                 failed = "TERMINAL_FAILURE" if attempts >= most else "RETRYABLE"
                 if state == "ABSENT":
                     state = "DISCOVERED" if row.action == "discover" else state
                 elif state in ("DISCOVERED", "RETRYABLE"):
                     if row.action == "claim" and attempts < most:
-                        state, attempts, last = "COLLECTING", attempts + 1, row.millis
+                        state, attempts, last = "COLLECTING", attempts + 1, row.micros
                 elif state == "COLLECTING":
-                    late = row.millis >= last + lease_ms
+                    late = row.micros >= last + lease
                     if row.action == "publish":
                         state = "PUBLISHED"
                     elif row.action == "fail" or (row.action in ("discover", "tick") and late):
@@ -76,9 +76,9 @@ def track(stream: DataFrame) -> DataFrame:
     """
     rows = stream.withWatermark("ts", "0 seconds").select(
         "attempt", "event_id", "action", "ts",
-        (F.unix_micros("ts") / 1000).cast("bigint").alias("millis"))
+        F.unix_micros("ts").alias("micros"))
     return rows.groupBy("attempt").transformWithState(
-        statefulProcessor=_processor(LEASE_MINUTES * 60_000, MAX_ATTEMPTS),
+        statefulProcessor=_processor(LEASE_MINUTES * 60_000_000, MAX_ATTEMPTS),
         outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
 
 
@@ -97,5 +97,5 @@ def drain_updates(updates: DataFrame, out: str, checkpoint: str) -> None:
 
 def latest(updates: DataFrame) -> DataFrame:
     """Newest state per attempt from the written updates."""
-    newest = F.max_by(F.struct("state", "attempts", "last_millis"), "step")
+    newest = F.max_by(F.struct("state", "attempts", "last_micros"), "step")
     return updates.groupBy("attempt").agg(newest.alias("s")).select("attempt", "s.*")
