@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["health", "pairs", "evidence", "quality", "publication", "lifecycle",
-           "catalog", "streams"]
+           "catalog", "ledger", "streams"]
 
 
 def load_all() -> None:

@@ -565,7 +565,7 @@ def grants(d):
 
 
 def _needs(text: str) -> list[str]:
-    words = set(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_]+)", text))
+    words = set(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", text))
     return [w for w in _RELATIONS if w in words]
 
 

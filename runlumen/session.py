@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,6 +34,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate several steps read to the shared folder and read it back.
+
+    It is computed once, cuts the lineage, and its files outlive lost executors.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def all_of(conditions: list[Column]) -> Column:
     result = conditions[0]
     for condition in conditions[1:]:
