@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlumen.functions.documents import sha256
 from runlumen.session import all_of, stage
 
 REGISTER, CANDIDATE, ACCEPT, INVALIDATE = (
@@ -138,49 +137,48 @@ def column_type(name: str) -> str:
 
 # ---- canonical text and digests --------------------------------------------------------------
 
-def json_value(name: str, value: Column) -> Column:
-    """JSON text of a value: integers as strings, null literal, UTC microseconds, arrays of objects."""
+def _json_text(name: str, column: str | None = None) -> str:
+    """SQL text of a JSON value: integers as strings, null literal, UTC microseconds, arrays."""
+    column = column or name
     if name in ("expected_components", "observed_components"):
-        names = ["component_key", "contract_digest"]
+        keys = ["component_key", "contract_digest"]
         if name == "observed_components":
-            names.append("observation_digest")
+            keys.append("observation_digest")
+        pairs = ", ',', ".join(f"""'"{k}":"', c.{k}, '"'""" for k in keys)
+        plain = f"'[' || array_join(transform({column}, c -> concat('{{', {pairs}, '}}')), ',') || ']'"
+    elif name in TIMES:
+        plain = f"""'"' || date_format({column}, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") || '"'"""
+    else:
+        plain = f"""'"' || CAST({column} AS STRING) || '"'"""
+    return f"coalesce({plain}, 'null')"
 
-        def item(c: Column) -> Column:
-            pairs = [F.concat(F.lit(f'"{n}":"'), c[n], F.lit('"')) for n in names]
-            return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
 
-        text = F.concat(F.lit("["), F.array_join(F.transform(value, item), ","), F.lit("]"))
-    else:
-        if name in TIMES:
-            plain = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-        else:
-            plain = value.cast("string")
-        text = F.concat(F.lit('"'), plain, F.lit('"'))
-    return F.coalesce(text, F.lit("null"))
+def json_value(name: str) -> Column:
+    """JSON text of a ledger column."""
+    return F.expr(_json_text(name))
 
 
-def canonical(domain: str, values: dict[str, Column]) -> Column:
-    """Domain-separated canonical JSON with sorted keys."""
-    parts = [F.lit('{"data":{')]
-    for i, (name, text) in enumerate(sorted(values.items())):
-        parts += [F.lit(("," if i else "") + f'"{name}":'), text]
-    return F.concat(*parts, F.lit('},"domain":"' + DOMAIN.format(domain) + '"}'))
+def _sealed(domain: str, values: dict[str, str]) -> Column:
+    """SHA-256 of domain-separated canonical JSON with sorted keys.
+
+    One SQL expression instead of a tree of Python columns: a digest has up to 60 fields.
+    """
+    body = ", ',', ".join(f"""'"{name}":', {text}""" for name, text in sorted(values.items()))
+    tail = '},"domain":"' + DOMAIN.format(domain) + '"}'
+    return F.expr(f"""sha2(concat('{{"data":{{', {body}, '{tail}'), 256)""")
 
 
-def digest(domain: str, row: Column | None = None) -> Column:
-    """One of ``DIGESTS`` over the columns of a row (or over the fields of a struct)."""
-    pick = F.col if row is None else row.getField
-    return sha256(canonical(domain, {n: json_value(n, pick(n)) for n in DIGESTS[domain]}))
+def digest(domain: str) -> Column:
+    """One of ``DIGESTS`` over the columns of a row."""
+    return _sealed(domain, {n: _json_text(n) for n in DIGESTS[domain]})
 
 
-def machine_digest(phase: str, row: Column | None = None) -> Column:
+def machine_digest(phase: str) -> Column:
     """Machine observation before (``pre_start``) or after (``post_start``) the start."""
-    pick = F.col if row is None else row.getField
-    values = {n: json_value(n, pick(n)) for n in MACHINE}
-    for name in MACHINE_STATE:
-        values[name] = json_value(f"{phase}_{name}", pick(f"{phase}_{name}"))
-    values["phase"] = F.lit(f'"{phase.upper()}"')
-    return sha256(canonical("machine-observation", values))
+    values = {n: _json_text(n) for n in MACHINE}
+    values |= {n: _json_text(f"{phase}_{n}") for n in MACHINE_STATE}
+    values["phase"] = f"""'"{phase.upper()}"'"""
+    return _sealed("machine-observation", values)
 
 
 # ---- row rules -------------------------------------------------------------------------------
@@ -204,10 +202,11 @@ def with_facts(ledger: DataFrame) -> DataFrame:
         F.col("client_signature_algorithm") == "ED25519",
         F.col("client_signature").rlike("^[0-9a-f]{128}$"),
     ])
-    hexes = F.array_compact(F.array(*(F.col(c) for c in COLUMNS if c not in NOT_HEX)))
-    ids = F.array_compact(F.array(*map(F.col, DEPLOYMENT_IDS)))
-    facts = {f"n_{name}": sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
-             for name, columns in _GROUPS.items()}
+    hexes = F.expr(f"array_compact(array({', '.join(c for c in COLUMNS if c not in NOT_HEX)}))")
+    ids = F.expr(f"array_compact(array({', '.join(DEPLOYMENT_IDS)}))")
+    facts = {f"n_{name}": F.expr(f"size(array_compact(array({', '.join(present)})))")
+             for name, columns in _GROUPS.items()
+             for present in [[f"if({c} IS NULL, NULL, 1)" for c in columns]]}
     facts["shaped"] = all_of([
         F.forall(hexes, lambda h: h.rlike("^[0-9a-f]{64}$")),
         F.forall(ids, lambda h: h.rlike("^[0-9a-f]{32}$")),

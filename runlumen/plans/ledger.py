@@ -197,7 +197,7 @@ _J = ["generation", "prior_generation", "snapshot_id", "expected_components", "o
 @query("fn_ledger_json", L, f"""SELECT {_ID},
   {', '.join(f"{text(DUCK, c, c)} AS json_{c}" for c in _J)} FROM ledger""")
 def _(t):
-    return _ledger(t).select(*ID, *(led.json_value(c, F.col(c)).alias(f"json_{c}") for c in _J))
+    return _ledger(t).select(*ID, *(led.json_value(c).alias(f"json_{c}") for c in _J))
 
 
 _D = ["event-id", "payload-digest", "server-record", "ledger-row-id", "stable-graph",
