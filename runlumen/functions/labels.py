@@ -74,7 +74,8 @@ OFFSET_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2
 def offset_ts(text: Column) -> Column:
     """UTC timestamp of ISO text that names its offset, else null."""
     dotted = F.regexp_replace(text, ",", ".")
-    return F.when(text.rlike(OFFSET_TIME), F.try_to_timestamp(dotted))
+    full = F.regexp_replace(dotted, r"^(.{10}T\d{2}:\d{2})([Z+-])", "$1:00$2")
+    return F.when(text.rlike(OFFSET_TIME), F.try_to_timestamp(full))
 
 
 def normal_uuid(text: Column) -> Column:
