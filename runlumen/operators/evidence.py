@@ -34,19 +34,19 @@ def scanned(members: DataFrame) -> DataFrame:
     return (
         members.filter(F.col("seq") <= MAX_MEMBERS + 1)
         .withColumn("normal", normal_path(F.col("path")))
-        .withColumn("copy_no", F.row_number().over(first))
+        # the running size comes first: its shuffle by attempt also serves the second window
         .withColumn("expanded_bytes", F.sum(size).over(running))
+        .withColumn("copy_no", F.row_number().over(first))
     )
 
 
 def log_path(normal: Column, key: Column, include_deps: Column, root: str) -> Column:
     """True where a normalized path is one of the governed log files of the attempt."""
     base = F.concat(F.lit(root), key)
-    ordinal = F.when(include_deps, "(000-deps|001-build)").otherwise("(001-build)")
     tail = F.substring(normal, F.length(base) + 1, F.lit(4096))
-    suffix = rf"/logs/dbt\.log(\.[1-{MAX_LOG_FILES - 1}])?$"
-    return F.startswith(normal, base) & F.regexp_like(
-        tail, F.concat(F.lit("^/"), ordinal, F.lit(suffix)))
+    governed = tail.rlike(rf"^/(000-deps|001-build)/logs/dbt\.log(\.[1-{MAX_LOG_FILES - 1}])?$")
+    return F.startswith(normal, base) & governed & (
+        include_deps | F.startswith(tail, F.lit("/001-build/")))
 
 
 def member_codes(root: str = "target/attempts/") -> dict[str, Column]:

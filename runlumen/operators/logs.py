@@ -69,19 +69,22 @@ def saturated() -> Column:
         F.col("rotations") == 2**MAX_LOG_FILES - 1)
 
 
-def strict_object(line: Column) -> Column:
-    """Variant of a line that holds exactly one JSON object without repeated keys, else null.
+def strict_objects(exploded: DataFrame) -> DataFrame:
+    """Adds ``event``: the variant of a line that is exactly one JSON value, else null.
 
     The parser ignores text after a value. Inside ``[..]`` only ``]`` or ``,`` may follow the value,
     inside ``{..}`` only ``}`` or ``,``; a comma adds an element. Both wraps together are exact.
+    Each wrap is parsed once, as a column of its own.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    in_map = F.try_parse_json(F.concat(F.lit('{"a":'), line, F.lit(',"z":0}')))
-    one = F.size(F.try_variant_get(in_list, "$", "array<variant>")) == 1
-    two = F.size(F.try_variant_get(in_map, "$", "map<string,variant>")) == 2
-    whole = one & two & F.is_variant_null(F.try_variant_get(in_map, "$.z", "variant")).eqNullSafe(
-        False)
-    return F.when(whole, F.try_variant_get(in_map, "$.a", "variant"))
+    wrapped = exploded.withColumns({
+        "in_list": F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))),
+        "in_map": F.try_parse_json(F.concat(F.lit('{"a":'), "line", F.lit(',"z":0}'))),
+    })
+    one = F.size(F.try_variant_get("in_list", "$", "array<variant>")) == 1
+    two = F.size(F.try_variant_get("in_map", "$", "map<string,variant>")) == 2
+    closed = F.equal_null(F.try_variant_get("in_map", "$.z", "int"), F.lit(0))
+    return wrapped.withColumn("event", F.when(
+        one & two & closed, F.try_variant_get("in_map", "$.a", "variant")))
 
 
 def parsed_lines(exploded: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def parsed_lines(exploded: DataFrame) -> DataFrame:
     # 257 levels need at least 514 characters
     deep = F.when(F.length("line") >= 2 * (MAX_JSON_DEPTH + 1),
                   json_depth(F.col("line")) > MAX_JSON_DEPTH).otherwise(F.lit(False))
-    read = exploded.withColumn("event", strict_object(F.col("line"))).select(
+    read = strict_objects(exploded).select(
         *exploded.columns, shaped.alias("shaped"), deep.alias("deep"), name.alias("name"),
         invocation.alias("invocation"), version.alias("version"))
     bad = (

@@ -147,9 +147,12 @@ def duplicate_ids(results: DataFrame, keys: list[str]) -> DataFrame:
         F.col("copies") > 1)
 
 
-def resolve(results: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
+def resolve(results: DataFrame, inventory: DataFrame, keys: list[str],
+            distinct_ids: bool = False) -> DataFrame:
     """Each distinct (attempt, result id) against the manifest entries of the same attempt.
 
+    ``distinct_ids`` says that ``results`` already holds one row per id; its columns stay.
+
     The inventory is reduced to one row per (attempt, id) before the join, so neither side fans
     out and a hot attempt is spread by id.
     """
@@ -167,9 +170,9 @@ def resolve(results: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFr
         (F.count_if(supported & ~allowed) == 0).alias("type_allowed"),
         F.max(F.when(supported, F.col("resource_type"))).alias("resource_type"),
     )
-    ids = results.select(*keys, "unique_id").distinct()
+    ids = results if distinct_ids else results.select(*keys, "unique_id").distinct()
     return ids.join(entries, [*keys, "unique_id"], "left").select(
-        *keys, "unique_id",
+        *ids.columns,
         F.coalesce("supported_hits", F.lit(0)).alias("supported_hits"),
         F.coalesce("unsupported_hits", F.lit(0)).alias("unsupported_hits"),
         F.coalesce("id_consistent", F.lit(True)).alias("id_consistent"),
@@ -209,31 +212,38 @@ def result_value_codes() -> dict[str, Column]:
     }
 
 
+# codes single results can raise; the first five exclude each other per id
+RESULT_CODES = [
+    "DBT_RESULT_ID_AMBIGUOUS", "DBT_RESULT_ID_UNSUPPORTED_RESOURCE", "DBT_RESULT_ID_UNRESOLVED",
+    "DBT_MANIFEST_RESOURCE_ID_MISMATCH", "DBT_RESULT_RESOURCE_TYPE_UNSUPPORTED",
+]
+
+
 def result_codes(results: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct (keys, code) rows of every rule that reads single results.
+    """Per attempt: the codes of every rule that reads single results, and the result count.
 
-    One aggregate per (attempt, id) carries all per-result facts, then one join with the reduced
-    inventory and one more aggregate per attempt: hot attempts are spread by id until the end.
+    One aggregate per (attempt, id), one join with the reduced inventory and one aggregate per
+    attempt made of booleans: hot attempts are spread by id, then combined before the last shuffle.
     """
     per_id = results.groupBy(*keys, "unique_id").agg(
         F.count("*").alias("copies"),
         F.max_by("status", "position").alias("status"),
-        *(
-            (F.count_if(cond) > 0).alias(code) for code, cond in result_value_codes().items()
-        ),
+        *(F.bool_or(cond).alias(code) for code, cond in result_value_codes().items()),
     )
-    joined = per_id.join(resolve(results, inventory, keys), [*keys, "unique_id"])
-    resolution = resolution_code()
-    illegal = resolution.isNull() & ~status_legal(F.col("resource_type"), F.col("status"))
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("copies") > 1, "DBT_RESULTS_DUPLICATE_ID"),
-            resolution,
-            F.when(illegal, "DBT_RESULT_STATUS_UNSUPPORTED"),
-            *(F.when(F.col(code), code) for code in result_value_codes()),
-        )
-    )
-    return joined.select(*keys, F.explode(codes).alias("code")).distinct()
+    facts = resolve(per_id, inventory, keys, distinct_ids=True).withColumn(
+        "resolution", resolution_code())
+    illegal = F.col("resolution").isNull() & ~status_legal(F.col("resource_type"), F.col("status"))
+    raised = {
+        "DBT_RESULTS_DUPLICATE_ID": F.col("copies") > 1,
+        **{code: F.equal_null(F.col("resolution"), F.lit(code)) for code in RESULT_CODES},
+        "DBT_RESULT_STATUS_UNSUPPORTED": illegal,
+        **{code: F.col(code) for code in result_value_codes()},
+    }
+    flags = facts.groupBy(*keys).agg(
+        F.sum("copies").alias("result_count"),
+        *(F.bool_or(cond).alias("f_" + code) for code, cond in raised.items()))
+    return flags.select(*keys, "result_count", code_array(
+        {code: F.col("f_" + code) for code in raised}).alias("result_codes"))
 
 
 # ---- verdict ---------------------------------------------------------------------------------
@@ -258,14 +268,10 @@ def sorted_issues(codes: Column) -> Column:
 def judge(meta: DataFrame, results: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:
     """Verdict per attempt: state, ordered issue codes and the primary one.
 
-    A gate that fires hides all later stages. The codes of an attempt come from a closed set of 26,
-    so the collected set per attempt is bounded.
+    A gate that fires hides all later stages.
     """
     gated = meta.withColumn("gate_codes", first_stage_codes())
-    found = result_codes(results, inventory, keys).groupBy(*keys).agg(
-        F.collect_set("code").alias("result_codes"))
-    counted = results.groupBy(*keys).agg(F.count("*").alias("result_count"))
-    joined = gated.join(found, keys, "left").join(counted, keys, "left")
+    joined = gated.join(result_codes(results, inventory, keys), keys, "left")
     empty = {"DBT_EMPTY_EXECUTION": F.coalesce("result_count", F.lit(0)) == 0}
     none = F.array().cast("array<string>")
     semantic = F.concat(
