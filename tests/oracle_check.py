@@ -33,6 +33,17 @@ def duck(sf_dir):
     return con
 
 
+def odd_types(df, rel):
+    """Columns whose types a strict reader could print differently on the two sides."""
+    family = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+    other = dict(zip(rel.columns, map(str, rel.types), strict=True))
+    odd = [f"{c}:{t}/{other[c]}" for c, t in df.dtypes
+           if family.get(t, other[c]) != other[c] and not (
+               {t, other[c]} in ({"bigint", "INTEGER"}, {"int", "BIGINT"}))]
+    return f" types {odd}" if odd else ""
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     started = time.time()
     df = fn(spark, sf_dir)
@@ -48,7 +59,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     expected = sorted(repr(plain(r)) for r in picked.fetchall())
     actual = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in rows)
     if actual == expected:
-        return True, f"rows={len(rows)}", took, len(rows)
+        return True, f"rows={len(rows)}{odd_types(df, rel)}", took, len(rows)
     a, b = set(actual), set(expected)
     return False, (f"spark={len(actual)} sql={len(expected)}\n   spark only {sorted(a - b)[:2]}"
                    f"\n   sql only {sorted(b - a)[:2]}"), took, len(rows)
