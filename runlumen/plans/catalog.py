@@ -8,7 +8,7 @@ from runlumen.operators import catalog
 from runlumen.plans.book import query
 from runlumen.plans.publication import SET_DIGEST
 from runlumen.schemas import INVOCATION_COLUMNS, NODE_COLUMNS, REGISTRY_COLUMNS
-from runlumen.session import checkpoint_dir
+from runlumen.session import scratch
 from runlumen.sources import evidence
 from runlumen.sources.tables import typed_rows
 
@@ -132,9 +132,9 @@ UNION ALL SELECT 'invocations', {len(INVOCATION_COLUMNS)}, count(*), min(dbt_tas
 UNION ALL SELECT 'node_results', {len(NODE_COLUMNS)}, count(*), min(dbt_task_run_id), max(dbt_task_run_id)
 FROM nodes""")
 def _(t):
-    database = "runlumen_sink"
-    t.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION "
-                f"'{checkpoint_dir(t.spark)}/{database}'")
+    folder = scratch(t.spark, "sink")
+    database = folder.rsplit("/", 1)[1].replace("-", "_")
+    t.spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
     catalog.create_tables(t.spark, database, "contract-v1")
     parts = []
     for name, rows in (("registry", t.registry), ("invocations", t.invocations),

@@ -6,13 +6,11 @@ The text here restates the digests in SQL, apart from the column expressions of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from runlumen.operators import ledger as led
 from runlumen.plans.derive import _RELATIONS, SPARK, Dialect, _relation
-from runlumen.session import checkpoint_dir
+from runlumen.session import scratch
 
 
 def _type(d: Dialect, name: str) -> str:
@@ -311,7 +309,7 @@ def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        base = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        base = scratch(spark, "ledger")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
         spark.sql(_RELATIONS["entity"](SPARK)).createOrReplaceTempView("entity")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runlumen.operators import publish
 from runlumen.plans.book import query
 from runlumen.schemas import INVOCATION_COLUMNS, LINEAGE, NODE_COLUMNS, REGISTRY_COLUMNS
-from runlumen.session import checkpoint_dir
+from runlumen.session import scratch
 
 ROOTS = ["root_target", "root_source"]
 KEY = ["workspace_id", "dbt_task_run_id"]
@@ -202,7 +202,7 @@ SELECT lang, source, sha256(text) AS sha256, strlen(text) AS size_bytes,
   'raw/' || lang || '/' || source || '/' || sha256(text) AS locator, 'OK' AS readback
 FROM documents GROUP BY lang, source, text""")
 def _(t):
-    folder = f"{checkpoint_dir(t.spark)}/custody"
+    folder = scratch(t.spark, "custody")
     rows = publish.custody_rows(t.base("documents"), ["lang", "source"], "text")
-    rows.write.mode("overwrite").partitionBy("lang").parquet(folder)
+    rows.write.partitionBy("lang").parquet(folder)
     return publish.verify_custody(t.spark.read.parquet(folder))

@@ -16,7 +16,7 @@ from runlumen.schemas import (
     RUN_REPORT_COLUMNS,
 )
 from runlumen.sources.tables import seed_csv
-from runlumen.session import checkpoint_dir
+from runlumen.session import scratch
 
 _STATES = "'" + "', '".join(RESULT_STATES) + "'"
 _LOGS = ("'UNAVAILABLE', 'NOT_INITIALIZED', 'TRUNCATED', 'MALFORMED', 'MISSING', 'UNKNOWN_VERSION', "
@@ -157,8 +157,8 @@ def _(t):
 
 @query("src_seed_csv", ["weather_text"], "SELECT * FROM weather_text")
 def _(t):
-    folder = f"{checkpoint_dir(t.spark)}/seed_weather"
-    t.weather_text.write.mode("overwrite").option("header", True).csv(folder)
+    folder = scratch(t.spark, "seed")
+    t.weather_text.write.option("header", True).csv(folder)
     return seed_csv(t.spark, folder, samples.SEED_SCHEMA)
 
 

@@ -34,13 +34,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder; sessions that share it never meet."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate several steps read to the shared folder and read it back.
 
     It is computed once, cuts the lineage, and its files outlive lost executors.
     """
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = scratch(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
