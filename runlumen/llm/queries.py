@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlumen.llm import mixing, sharding, tokens
-from runlumen.llm.common import n_bytes, table
+from runlumen.llm import decontaminate, jaccard, mixing, quality, sharding, suffixes, tokens
+from runlumen.llm.common import fold_of, n_bytes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,34 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     return sharding.assign(narrow, 40).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminating(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "items", F.size("items").alias("n_items"),
+                        (F.size("items") > 0).alias("contaminated"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, "score")
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents alike in their 4-word shingles (85 %)."""
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat 50-byte strings of earlier documents."""
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), length=50)
