@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlumen.llm import decontaminate, jaccard, mixing, quality, sharding, suffixes, tokens
+from runlumen.llm import decontaminate, jaccard, lines, lm, mixing, quality, sharding, suffixes, tokens
 from runlumen.llm.common import fold_of, n_bytes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,34 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that repeat 50-byte strings of earlier documents."""
     return suffixes.deduplicate(table(spark, sf_dir, "documents"), length=50)
+
+
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents, learnt from four fifths of them."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeats of runs of two lines or more."""
+    return lines.deduplicate(table(spark, sf_dir, "documents"), run=2).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
+ORACLES["op6_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i,
+    unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2 FROM l),
+o AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, i) > 1 AS again
+  FROM w WHERE line2 IS NOT NULL),
+g AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM o WHERE again
+    UNION ALL SELECT doc_id, i + 1 FROM o WHERE again))
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+  md5(coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_md5
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+"""
