@@ -15,7 +15,7 @@ broadcast; documents join the counts of all other tokens.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,17 +102,20 @@ def _texts(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
         "held_out", fold == held_out)
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """(key, n): tokens of the training documents. One entry per task and token is shuffled."""
-    spread = 4 * partitions(texts.sparkSession)
+def summed(source: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]) -> DataFrame:
+    """(key, n): sums of the (keys uint64, numbers or None for ones) that ``extract`` yields from batches.
+
+    Each task adds up its own keys first and packs those of a bucket into arrays.
+    """
+    spread = 4 * partitions(source.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate(gathered), return_inverse=True)
-            n = np.bincount(at)
+            keys, at = np.unique(np.concatenate([k for k, _ in gathered]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([np.ones(len(k)) if v is None else v for k, v in gathered]))
             bucket = (mix64(keys) % np.uint64(spread)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, keys, n = bucket[order], keys[order], n[order]
+            bucket, keys, n = bucket[order], keys[order], n[order].astype(np.int64)
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = pa.array(np.append(starts, len(keys)), pa.int32())
             return pa.RecordBatch.from_arrays(
@@ -120,9 +123,8 @@ def counts(texts: DataFrame) -> DataFrame:
                  pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))], ["bucket", "keys", "n"])
 
         gathered, size = [], 0
-        for batch in pieces(batches, "text", CHUNK):
-            keys, _ = tokens(batch["text"])
-            gathered.append(keys)
+        for keys, n in extract(batches):
+            gathered.append((keys, n))
             size += len(keys)
             if size >= GATHERED:
                 yield flush()
@@ -141,9 +143,17 @@ def counts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found[start:start + 50_000]), pa.array(total[start:start + 50_000])], ["key", "n"])
 
-    packed = texts.filter("not held_out").select("text").mapInArrow(
-        deal, "bucket int, keys array<long>, n array<int>")
-    return packed.repartition(partitions(texts.sparkSession), "bucket").mapInArrow(gather, "key long, n long")
+    packed = source.mapInArrow(deal, "bucket int, keys array<long>, n array<int>")
+    return packed.repartition(partitions(source.sparkSession), "bucket").mapInArrow(gather, "key long, n long")
+
+
+def counts(texts: DataFrame) -> DataFrame:
+    """(key, n): tokens of the training documents."""
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in pieces(batches, "text", CHUNK):
+            yield tokens(batch["text"])[0], None
+
+    return summed(texts.filter("not held_out").select("text"), extract)
 
 
 def _round(texts: DataFrame, weights: np.ndarray, part: int, rounds: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlumen.llm import decontaminate, jaccard, lines, lm, mixing, quality, sharding, suffixes, tokens
+from runlumen.llm import decontaminate, jaccard, lines, lm, mixing, quality, search, sharding, suffixes, tokens
 from runlumen.llm.common import fold_of, n_bytes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,10 @@ SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
   md5(coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_md5
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 """
+
+
+@query
+def op7_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter(F.col("doc_id") % 50 == 0), k=10)
