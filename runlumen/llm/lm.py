@@ -30,7 +30,7 @@ from runlumen.session import stage
 BUCKETS, CLASSES, ROUNDS = 1 << 14, 32, 2
 #: Tokens whose counts are broadcast at most (16 bytes each); distinct tokens a task sums at once.
 FREQUENT, GATHERED = 1 << 19, 3_000_000
-STEP, RATE = 8192, 0.1
+STEP, RATE = 2048, 0.2
 CHUNK = 1 << 20
 END = np.uint64(0)
 _FEATURES = 4
