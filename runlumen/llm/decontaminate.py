@@ -2,12 +2,15 @@
 
 An item of m characters may appear in a document with up to k = rate * m edits. Split into k + 1
 pieces, at least one piece must appear unchanged. One automaton finds all pieces of all items in one
-pass over a document; around each hit, Myers' bit-parallel algorithm finds the distance of the whole
-item to the best-matching passage. Case and runs of white space do not count.
+pass over a document; around each hit, Myers' bit-parallel algorithm finds the distance of ever larger
+parts of the item, up to the whole of it, to the best-matching passage. A part of p pieces may have p - 1
+edits: of a match split in two, one half always keeps within its own budget, so some hit leads to the
+whole item, and a chance hit ends with a short part. Case and runs of white space do not count.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +32,19 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def best_distance(item: str, passage: str) -> int:
-    """Smallest edit distance of ``item`` to any substring of ``passage`` (Myers, bit-parallel)."""
-    m = len(item)
+@functools.lru_cache(1 << 16)
+def _places(item: str) -> dict[str, int]:
+    """Bit mask of the places of each character."""
     places: dict[str, int] = {}
     for i, c in enumerate(item):
         places[c] = places.get(c, 0) | (1 << i)
+    return places
+
+
+def best_distance(item: str, passage: str) -> int:
+    """Smallest edit distance of ``item`` to any substring of ``passage`` (Myers, bit-parallel)."""
+    m = len(item)
+    places = _places(item)
     full, last = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score, best = full, 0, m, m
     for c in passage:
@@ -54,44 +64,56 @@ def best_distance(item: str, passage: str) -> int:
     return best
 
 
+def parts_around(piece: int, pieces_in_all: int) -> list[tuple[int, int]]:
+    """Ranges of pieces around a piece, from the smallest part of two or more to all, halving down."""
+    low, high, found = 0, pieces_in_all, []
+    while high - low > 1:
+        found.append((low, high))
+        middle = (low + high) // 2
+        low, high = (low, middle) if piece < middle else (middle, high)
+    return found[::-1]
+
+
 class Matcher:
     """All items of a block: an automaton of pieces and the distance check."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         import ahocorasick
 
-        self.items = [(item_id, text, int(rate * len(text))) for item_id, text in items]
+        self.items, self.cuts = items, []
         found: dict[str, list[tuple[int, int]]] = {}
-        for number, (_, text, k) in enumerate(self.items):
-            cuts = [i * len(text) // (k + 1) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                found.setdefault(text[a:b], []).append((number, a))
+        for number, (_, text) in enumerate(items):
+            n = int(rate * len(text)) + 1
+            cuts = [i * len(text) // n for i in range(n + 1)]
+            self.cuts.append(cuts)
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                found.setdefault(text[a:b], []).append((number, i))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in found.items():
             self.automaton.add_word(piece, (len(piece), uses))
         if found:
             self.automaton.make_automaton()
 
+    def _holds(self, number: int, piece: int, at: int, text: str) -> bool:
+        """Whether the whole item matches around an exact hit of a piece at ``at``."""
+        item, cuts = self.items[number][1], self.cuts[number]
+        start = at - cuts[piece]
+        for low, high in parts_around(piece, len(cuts) - 1):
+            budget = high - low - 1
+            passage = text[max(0, start + cuts[low] - budget):start + cuts[high] + budget]
+            if best_distance(item[cuts[low]:cuts[high]], passage) > budget:
+                return False
+        return True
+
     def matches(self, text: str) -> list[int]:
         """Ids of items within their error budget, in order."""
         if not self.items:
             return []
         text = normal(text)
         hit: set[int] = set()
-        tried: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.automaton.iter(text):
-            for number, offset in uses:
-                if number in hit:
-                    continue
-                start = end + 1 - size - offset
-                spans = tried.setdefault(number, [])
-                if spans and spans[-1][0] <= start <= spans[-1][1] or any(a <= start <= b for a, b in spans):
-                    continue
-                _, item, k = self.items[number]
-                # the passage holds every match that starts within k of any place in the span
-                spans.append((start - k, start + k))
-                passage = text[max(0, start - 2 * k):start + 2 * k + len(item)]
-                if len(passage) + k >= len(item) and best_distance(item, passage) <= k:
+            for number, piece in uses:
+                if number not in hit and self._holds(number, piece, end + 1 - size, text):
                     hit.add(number)
         return sorted({self.items[n][0] for n in hit})
 
