@@ -93,83 +93,83 @@ valid AS (SELECT o.* EXCLUDE (own_ok), own_ok AND (operation <> {_REG} OR genera
       AND n = 1 AND p.installation_digest = o.installation_digest AND p.generation = o.generation - 1
       AND ((p.operation = {_ACC} AND p.snapshot_id = o.prior_snapshot_id) OR (p.operation = {_INV}
         AND p.target_snapshot_id IS NOT DISTINCT FROM o.prior_snapshot_id)))) AS row_valid FROM own o)"""
-COUNTS = f"""gc AS (SELECT installation_digest, generation, count(*) AS physical_row_count,
-  count(*) FILTER (operation = {_REG}) AS registration_count,
-  count(*) FILTER (operation = {_CAND}) AS candidate_count,
-  count(*) FILTER (operation = {_ACC}) AS acceptance_count,
-  count(*) FILTER (operation = {_INV}) AS invalidation_count,
-  count(DISTINCT event_id) AS distinct_event_count,
-  count(DISTINCT ledger_row_id) AS distinct_ledger_row_count,
-  count(DISTINCT snapshot_id) AS distinct_snapshot_count FROM ledger GROUP BY 1, 2)"""
-_REPEAT = " AND ".join(f"a.{c} IS NOT DISTINCT FROM c.{c}" for c in led.REPEATED)
-_CHANGE = """((r.reason = 'UNCHANGED_REFRESH' AND c.new_deployment_count = 0
-    AND c.deployment_set_before_digest = c.deployment_set_after_digest)
-  OR (r.reason IN ('INSTALL', 'UPGRADE', 'ROLLBACK', 'CHANGED_REFRESH') AND c.new_deployment_count = 1
-    AND c.deployment_set_before_digest <> c.deployment_set_after_digest))"""
-CHAINS = f"""raw AS (SELECT a.*, r.reason AS registration_reason, r.event_id AS registration_event_id,
+# every generation as one row: its rows in a list and, by operation, its only row of that kind
+def _generations(rows="valid", name="gen"):
+    one = ", ".join(f"any_value(v) FILTER (operation = {op}) AS {short}, count(*) FILTER (operation = {op}) AS n_{short}"
+                    for short, op in (("r", _REG), ("k", _CAND), ("a", _ACC), ("i", _INV)))
+    return f"""{name} AS (SELECT installation_digest, generation, list(v) AS rows, count(*) AS n, {one},
+  count(DISTINCT event_id) AS events, count(DISTINCT ledger_row_id) AS row_ids,
+  count(DISTINCT snapshot_id) AS snapshots
+FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS twins FROM {rows}) v GROUP BY ALL)"""
+
+
+def _moved(r, c):
+    """Whether a registration's reason fits the deployments its candidate saw."""
+    return f"""CASE WHEN {r}.reason = 'UNCHANGED_REFRESH' THEN {c}.new_deployment_count = 0
+    ELSE {c}.new_deployment_count = 1 END AND {r}.reason IN
+    ('INSTALL', 'UPGRADE', 'ROLLBACK', 'CHANGED_REFRESH', 'UNCHANGED_REFRESH')
+    AND ({c}.new_deployment_count = 1) = ({c}.deployment_set_before_digest <> {c}.deployment_set_after_digest)"""
+
+
+def _alike(columns, x, y, test="="):
+    return " AND ".join(f"{x}.{c} {test} {y}.{c}" for c in columns)
+
+
+GEN = _generations()
+CHAINS = f"""whole AS (SELECT a.*, r.reason AS registration_reason, r.event_id AS registration_event_id,
     r.predecessor_event_id AS registration_predecessor_event_id,
     r.prior_snapshot_id AS registration_prior_snapshot_id,
-    c.statement_evaluated_at AS candidate_statement_evaluated_at,
+    k.statement_evaluated_at AS candidate_statement_evaluated_at,
     a.statement_evaluated_at AS acceptance_statement_evaluated_at
-  FROM valid r JOIN valid c USING (installation_digest, generation)
-  JOIN valid a USING (installation_digest, generation) JOIN gc USING (installation_digest, generation)
-  WHERE r.operation = {_REG} AND c.operation = {_CAND} AND a.operation = {_ACC}
-    AND r.row_valid AND c.row_valid AND a.row_valid
-    AND (physical_row_count, registration_count, candidate_count, acceptance_count, invalidation_count,
-      distinct_event_count, distinct_ledger_row_count, distinct_snapshot_count) = (3, 1, 1, 1, 0, 3, 3, 1)
-    AND c.predecessor_event_id = r.event_id AND a.predecessor_event_id = c.event_id
-    AND a.candidate_event_id = c.event_id AND c.workspace_digest = r.workspace_digest
-    AND c.account_digest = r.account_digest AND c.manifest_digest = r.manifest_digest
-    AND a.statement_evaluated_at >= c.statement_evaluated_at
-    AND c.statement_evaluated_at >= r.statement_evaluated_at
-    AND r.expected_components = c.expected_components AND {_REPEAT} AND {_CHANGE})"""
-_DERIVED = f"""(acceptance_digest = {_dig('acceptance-digest')} AND payload_digest = {_dig('payload-digest')}
+  FROM gen WHERE n = 3 AND events = 3 AND row_ids = 3 AND snapshots = 1
+    AND r.row_valid AND k.row_valid AND a.row_valid
+    AND [k.predecessor_event_id, a.predecessor_event_id, a.candidate_event_id]
+      = [r.event_id, k.event_id, k.event_id]
+    AND {_alike(["workspace_digest", "account_digest", "manifest_digest", "expected_components"], "r", "k")}
+    AND list_sort([r.statement_evaluated_at, k.statement_evaluated_at, a.statement_evaluated_at])
+      = [r.statement_evaluated_at, k.statement_evaluated_at, a.statement_evaluated_at]
+    AND {_alike(led.REPEATED, "a", "k", "IS NOT DISTINCT FROM")} AND {_moved("r", "k")})"""
+_SEALED = f"""(acceptance_digest = {_dig('acceptance-digest')} AND payload_digest = {_dig('payload-digest')}
   AND snapshot_id = {_dig('snapshot-id')} AND server_record_digest = {_dig('server-record')}
-  AND ledger_row_id = {_dig('ledger-row-id')} AND valid_until = least(statement_evaluated_at
-    + INTERVAL 24 HOUR, roster_statement_evaluated_at + INTERVAL 24 HOUR))"""
-_SAME = " AND ".join(f"o.{c} = w.{c}" for c in led.ANCHOR_EQUAL)
-REUSE = f"""original AS (SELECT * FROM (SELECT *, candidate_statement_evaluated_at
-    AS roster_statement_evaluated_at FROM raw WHERE roster_anchor_event_id = candidate_event_id
-    AND roster_anchor_digest = roster_observation_digest) q WHERE {_DERIVED}),
-ready AS (SELECT w.*, o.candidate_statement_evaluated_at AS roster_statement_evaluated_at
-  FROM raw w JOIN original o ON o.candidate_event_id = w.roster_anchor_event_id AND {_SAME}
-  WHERE w.registration_reason = 'UNCHANGED_REFRESH' AND w.roster_anchor_event_id <> w.candidate_event_id
-    AND w.candidate_statement_evaluated_at BETWEEN o.candidate_statement_evaluated_at
-      AND o.candidate_statement_evaluated_at + INTERVAL 24 HOUR - INTERVAL 1 MICROSECOND),
-prior AS (SELECT * FROM original UNION ALL SELECT * FROM ready WHERE {_DERIVED})"""
-INVALID = f"""inv AS (SELECT i.* FROM valid i JOIN valid t ON t.event_id = i.target_event_id
-    AND t.installation_digest = i.installation_digest AND t.generation = i.generation
-    AND t.snapshot_id IS NOT DISTINCT FROM i.target_snapshot_id
-  WHERE i.operation = {_INV} AND i.row_valid AND i.statement_evaluated_at >= t.statement_evaluated_at
-    AND i.expected_components = t.expected_components
-    AND (SELECT n FROM copies WHERE copied = i.target_event_id) = 1
-    AND (SELECT physical_row_count FROM gc WHERE gc.installation_digest = i.installation_digest
-      AND gc.generation = i.generation) = CASE t.operation WHEN {_REG} THEN 2 WHEN {_CAND} THEN 3
-      WHEN {_ACC} THEN 4 END
-    AND CASE t.operation WHEN {_REG} THEN t.row_valid
-      WHEN {_CAND} THEN t.row_valid AND EXISTS (SELECT 1 FROM valid g WHERE g.event_id = t.predecessor_event_id
-        AND g.operation = {_REG} AND g.row_valid AND g.generation = t.generation
-        AND g.installation_digest = t.installation_digest AND g.expected_components = t.expected_components)
-      WHEN {_ACC} THEN EXISTS (SELECT 1 FROM prior p WHERE p.event_id = t.event_id
-        AND p.snapshot_id = t.snapshot_id) ELSE FALSE END)"""
-LINEAGE = f"""verified AS (SELECT * FROM original UNION ALL SELECT w.* FROM ready w WHERE {_DERIVED} AND EXISTS (
-    SELECT 1 FROM prior p WHERE p.installation_digest = w.installation_digest
-      AND p.generation = w.generation - 1 AND p.roster_anchor_event_id = w.roster_anchor_event_id
-      AND p.roster_anchor_digest = w.roster_anchor_digest)),
-good AS (SELECT * FROM verified v WHERE (generation = 1 AND registration_reason = 'INSTALL')
-  OR (registration_reason = 'UNCHANGED_REFRESH' AND EXISTS (SELECT 1 FROM prior p
-    WHERE p.event_id = v.registration_predecessor_event_id AND p.installation_digest = v.installation_digest
-      AND p.generation = v.generation - 1 AND p.snapshot_id = v.registration_prior_snapshot_id
-      AND p.deployment_id = v.deployment_id AND p.deployment_mode = v.deployment_mode
-      AND p.deployment_set_after_digest = v.deployment_set_after_digest
-      AND p.stable_graph_digest = v.stable_graph_digest))
-  OR (registration_reason IN ('UPGRADE', 'ROLLBACK', 'CHANGED_REFRESH') AND (EXISTS (SELECT 1 FROM prior p
-      WHERE p.event_id = v.registration_predecessor_event_id AND p.generation = v.generation - 1
-        AND p.installation_digest = v.installation_digest AND p.snapshot_id = v.registration_prior_snapshot_id)
-    OR EXISTS (SELECT 1 FROM inv i WHERE i.event_id = v.registration_predecessor_event_id
-      AND i.installation_digest = v.installation_digest AND i.generation = v.generation - 1
-      AND i.target_snapshot_id IS NOT DISTINCT FROM v.registration_prior_snapshot_id))))"""
-ALL = f"WITH {VALID}, {COUNTS}, {CHAINS}, {REUSE}, {INVALID}, {LINEAGE}"
+  AND ledger_row_id = {_dig('ledger-row-id')} AND valid_until = INTERVAL 24 HOUR
+    + least(statement_evaluated_at, roster_statement_evaluated_at))"""
+ANCHORED = f"""anchored AS (SELECT w.*, o.candidate_statement_evaluated_at AS roster_statement_evaluated_at,
+    w.roster_anchor_event_id = w.candidate_event_id AS own_anchor,
+    w.roster_anchor_digest = w.roster_observation_digest AS own_digest,
+    w.registration_reason = 'UNCHANGED_REFRESH' AND {_alike(led.ANCHOR_EQUAL, "o", "w")}
+      AND w.candidate_statement_evaluated_at >= o.candidate_statement_evaluated_at
+      AND w.candidate_statement_evaluated_at < o.candidate_statement_evaluated_at + INTERVAL 24 HOUR AS may_reuse
+  FROM whole w JOIN whole o ON o.candidate_event_id = w.roster_anchor_event_id),
+sealed AS (SELECT *, {_SEALED} AS seal FROM anchored),
+kinds AS (SELECT *, CASE WHEN own_anchor THEN CASE WHEN own_digest AND seal THEN 'fresh' END
+    WHEN may_reuse AND bool_or(own_anchor AND own_digest AND seal) OVER (PARTITION BY roster_anchor_event_id)
+    THEN 'reuse' END AS kind FROM sealed),
+standing AS (SELECT * FROM kinds WHERE kind IS NOT NULL AND seal)"""
+ENDED = f"""ended AS (SELECT i.* FROM (SELECT i, g.n, g.r, list_filter(g.rows, lambda x: x.event_id = i.target_event_id
+      AND x.snapshot_id IS NOT DISTINCT FROM i.target_snapshot_id)[1] AS t
+    FROM valid i JOIN gen g USING (installation_digest, generation)
+    WHERE i.operation = {_INV} AND i.row_valid) q
+  WHERE t.twins = 1 AND i.expected_components = t.expected_components
+    AND i.statement_evaluated_at >= t.statement_evaluated_at
+    AND CASE WHEN t.operation = {_REG} THEN n = 2 AND t.row_valid
+      WHEN t.operation = {_CAND} THEN n = 3 AND t.row_valid AND r.row_valid
+        AND r.event_id = t.predecessor_event_id AND r.expected_components = t.expected_components
+      WHEN t.operation = {_ACC} THEN n = 4 AND t.event_id IN (SELECT event_id FROM standing s
+        WHERE s.snapshot_id = t.snapshot_id) ELSE FALSE END)"""
+LINEAGE = f"""steps AS (SELECT s.*, lag(s) OVER (PARTITION BY installation_digest ORDER BY generation) AS p
+  FROM standing s),
+line AS (SELECT s.* FROM (SELECT *, coalesce(p.generation = generation - 1, FALSE) AS follows,
+      coalesce(p.event_id = registration_predecessor_event_id AND p.snapshot_id = registration_prior_snapshot_id,
+        FALSE) AS named FROM steps) s
+  LEFT JOIN ended e ON e.event_id = s.registration_predecessor_event_id
+    AND e.installation_digest = s.installation_digest AND e.generation + 1 = s.generation
+    AND e.target_snapshot_id IS NOT DISTINCT FROM s.registration_prior_snapshot_id
+  WHERE (kind = 'fresh' OR (follows AND {_alike(["roster_anchor_event_id", "roster_anchor_digest"], "p", "s")}))
+    AND CASE registration_reason WHEN 'INSTALL' THEN s.generation = 1
+      WHEN 'UNCHANGED_REFRESH' THEN follows AND named AND {_alike(
+          ["deployment_id", "deployment_mode", "deployment_set_after_digest", "stable_graph_digest"], "p", "s")}
+      ELSE (follows AND named) OR e.event_id IS NOT NULL END)"""
+ALL = f"WITH {VALID}, {GEN}, {CHAINS}, {ANCHORED}, {ENDED}, {LINEAGE}"
 _CHAIN = ["installation_digest", "generation", "event_id", "snapshot_id", "registration_reason",
           "registration_event_id", "candidate_statement_evaluated_at", "valid_until"]
 _C = ", ".join(_CHAIN)
@@ -234,7 +234,12 @@ def _(t):
     return led.validated(_ledger(t)).select(*ID, "row_valid")
 
 
-@query("agg_generation_counts", L, f"WITH {COUNTS} SELECT * FROM gc")
+@query("agg_generation_counts", L, f"""SELECT installation_digest, generation, count(*) AS physical_row_count,
+  {', '.join(f"CAST(sum(CASE operation WHEN {op} THEN 1 ELSE 0 END) AS BIGINT) AS {name}_count" for name, op in (
+      ("registration", _REG), ("candidate", _CAND), ("acceptance", _ACC), ("invalidation", _INV)))},
+  len(list_distinct(list(event_id))) AS distinct_event_count,
+  len(list_distinct(list(ledger_row_id))) AS distinct_ledger_row_count,
+  len(list_distinct(list(snapshot_id))) AS distinct_snapshot_count FROM ledger GROUP BY ALL""")
 def _(t):
     return led.generation_counts(_ledger(t))
 
@@ -257,47 +262,47 @@ def _(t):
     return led.event_readback(_ledger(t))
 
 
-@query("join_ledger_chain", L, f"WITH {VALID}, {COUNTS}, {CHAINS} SELECT {_C} FROM raw")
+@query("join_ledger_chain", L, f"WITH {VALID}, {GEN}, {CHAINS} SELECT {_C} FROM whole")
 def _(t):
     return _raw(t).select(*_CHAIN)
 
 
-@query("led_chain", L, f"""WITH {VALID}, {COUNTS}, {CHAINS}
+@query("led_chain", L, f"""WITH {VALID}, {GEN}, {CHAINS}
 SELECT registration_reason, generation, count(*) AS chains, count(DISTINCT installation_digest) AS entities
-FROM raw GROUP BY 1, 2""")
+FROM whole GROUP BY 1, 2""")
 def _(t):
     return _raw(t).groupBy("registration_reason", "generation").agg(
         F.count("*").alias("chains"), F.count_distinct("installation_digest").alias("entities"))
 
 
-@query("join_ledger_interval", L, f"""{ALL} SELECT {_C}, roster_statement_evaluated_at FROM ready""")
+@query("join_ledger_interval", L, f"""{ALL} SELECT {_C}, roster_statement_evaluated_at FROM kinds WHERE kind = 'reuse'""")
 def _(t):
     raw = _raw(t)
     return led.reused_ready(raw, led.original_chains(raw)).select(
         *_CHAIN, "roster_statement_evaluated_at")
 
 
-@query("led_reuse", L, f"""{ALL} SELECT {_C}, roster_anchor_event_id <> candidate_event_id AS reused FROM prior""")
+@query("led_reuse", L, f"""{ALL} SELECT {_C}, kind = 'reuse' AS reused FROM standing""")
 def _(t):
     return led.prior_chains(_raw(t)).select(
         *_CHAIN, (F.col("roster_anchor_event_id") != F.col("candidate_event_id")).alias("reused"))
 
 
 @query("set_union_chains", L, f"""{ALL} SELECT installation_digest, count(*) AS chains,
-  max(generation) AS newest FROM prior GROUP BY 1""")
+  max(generation) AS newest FROM standing GROUP BY 1""")
 def _(t):
     return led.prior_chains(_raw(t)).groupBy("installation_digest").agg(
         F.count("*").alias("chains"), F.max("generation").alias("newest"))
 
 
-@query("led_invalidations", L, f"{ALL} SELECT {_ID}, target_event_id, target_snapshot_id FROM inv")
+@query("led_invalidations", L, f"{ALL} SELECT {_ID}, target_event_id, target_snapshot_id FROM ended")
 def _(t):
     valid = led.validated(_ledger(t))
     prior = led.prior_chains(led.chains(valid))
     return led.invalidations(valid, prior).select(*ID, "target_event_id", "target_snapshot_id")
 
 
-@query("led_lineage", L, f"{ALL} SELECT {_C}, roster_statement_evaluated_at FROM good")
+@query("led_lineage", L, f"{ALL} SELECT {_C}, roster_statement_evaluated_at FROM line")
 def _(t):
     valid = led.validated(_ledger(t))
     prior = led.prior_chains(led.chains(valid))
@@ -314,7 +319,7 @@ SELECT {', '.join(led.STATUS_COLUMNS)}, candidate_statement_evaluated_at AS pre_
   TIMESTAMP '{AS_OF}' AS evaluated_at, '{led.QUALIFIER}' AS qualifier,
   CASE WHEN valid_until <= TIMESTAMP '{AS_OF}' THEN 'RUNTIME_TRUST_STALE'
     ELSE 'RUNTIME_TRUST_ACCEPTED_ADMIN_ATTESTED' END AS state
-FROM good JOIN newest USING (installation_digest, generation)""")
+FROM line JOIN newest USING (installation_digest, generation)""")
 def _(t):
     return led.status(_ledger(t), F.lit(AS_OF).cast("timestamp_ntz"))
 
@@ -334,100 +339,80 @@ _LINK = """linked AS (SELECT f.*, c.statement_evaluated_at AS candidate_statemen
     WHERE operation = 'TRUST_CANDIDATE' GROUP BY 1) c ON c.event_id = f.candidate_event_id
   LEFT JOIN (SELECT event_id, min(statement_evaluated_at) AS statement_evaluated_at FROM target
     WHERE operation = 'TRUST_CANDIDATE' GROUP BY 1) a ON a.event_id = f.roster_anchor_event_id)"""
-_PRE = {
-    led.REGISTER: ("generation = 1", f"""f.event_id = {_dig('event-id', 'f.')}
-    AND NOT EXISTS (SELECT 1 FROM target x WHERE x.installation_digest = f.installation_digest
-      AND x.generation >= f.generation)
-    AND CASE WHEN f.generation = 1 THEN f.predecessor_event_id IS NULL AND f.prior_generation IS NULL
-        AND f.prior_snapshot_id IS NULL
-        AND NOT EXISTS (SELECT 1 FROM target x WHERE x.installation_digest = f.installation_digest)
-      ELSE f.prior_generation = f.generation - 1 AND EXISTS (SELECT 1 FROM target p
-        WHERE p.event_id = f.predecessor_event_id AND p.installation_digest = f.installation_digest
-          AND p.generation = f.generation - 1 AND ((p.operation = {_ACC}
-            AND p.snapshot_id = f.prior_snapshot_id) OR (p.operation = {_INV}
-            AND p.target_snapshot_id IS NOT DISTINCT FROM f.prior_snapshot_id))
-          AND NOT EXISTS (SELECT 1 FROM target s WHERE s.installation_digest = p.installation_digest
-            AND s.generation = p.generation AND s.predecessor_event_id = p.event_id)) END"""),
-    led.CANDIDATE: (f"generation = 1 OR operation = {_REG}", f"""
-    (SELECT count(*) FROM target x WHERE x.installation_digest = f.installation_digest
-      AND x.generation = f.generation) = 1
-    AND EXISTS (SELECT 1 FROM tvalid r WHERE r.event_id = f.predecessor_event_id AND r.row_valid
-      AND r.operation = {_REG} AND r.installation_digest = f.installation_digest
-      AND r.generation = f.generation AND r.workspace_digest = f.workspace_digest
-      AND r.account_digest = f.account_digest AND r.manifest_digest = f.manifest_digest
-      AND r.expected_component_count = f.expected_component_count
-      AND r.expected_components = f.expected_components AND {_CHANGE.replace('c.', 'f.')})
-    AND (f.new_deployment_count = 1 OR EXISTS (SELECT 1 FROM target p WHERE p.operation = {_ACC}
-      AND p.installation_digest = f.installation_digest AND p.generation = f.generation - 1
-      AND p.deployment_id = f.deployment_id AND p.deployment_mode = f.deployment_mode
-      AND p.deployment_set_after_digest = f.deployment_set_after_digest
-      AND p.stable_graph_digest = f.stable_graph_digest))
-    AND f.event_id = {_dig('event-id', 'f.')} AND f.stable_graph_digest = {_dig('stable-graph', 'f.')}
+_DAY = "INTERVAL 24 HOUR"
+_KEEP = {led.REGISTER: "generation = 1", led.CANDIDATE: f"generation = 1 OR operation = {_REG}",
+         led.ACCEPT: f"operation IN ({_REG}, {_CAND})", led.INVALIDATE: f"operation <> {_INV}"}
+# an input f next to its generation g, the one before h, the newest z, and the rows with its anchor's id
+_ASKED = {
+    led.REGISTER: f"""CASE WHEN f.generation = 1 THEN z.generation IS NULL AND f.predecessor_event_id IS NULL
+      AND f.prior_generation IS NULL AND f.prior_snapshot_id IS NULL
+    ELSE z.generation = f.generation - 1 AND f.prior_generation = z.generation
+      AND NOT list_contains(list_transform(z.rows, lambda x: x.predecessor_event_id), f.predecessor_event_id)
+      AND len(list_filter(z.rows, lambda x: x.event_id = f.predecessor_event_id
+        AND CASE x.operation WHEN {_ACC} THEN x.snapshot_id = f.prior_snapshot_id
+          WHEN {_INV} THEN x.target_snapshot_id IS NOT DISTINCT FROM f.prior_snapshot_id ELSE FALSE END)) > 0 END""",
+    led.CANDIDATE: f"""g.n = 1 AND g.r.row_valid AND g.r.event_id = f.predecessor_event_id
+    AND {_alike(["workspace_digest", "account_digest", "manifest_digest", "expected_component_count",
+                 "expected_components"], "g.r", "f")} AND {_moved("g.r", "f")}
+    AND f.stable_graph_digest = {_dig('stable-graph', 'f.')}
     AND f.pre_start_machine_observation_digest = {_machine('pre_start', 'f.')}
     AND f.roster_observation_digest = {_dig('roster-observation', 'f.')}
     AND f.expected_roster_digest = f.observed_roster_digest
     AND f.candidate_digest = {_dig('candidate-digest', 'f.')}
-    AND ((f.roster_anchor_event_id = f.event_id AND f.roster_anchor_digest = f.roster_observation_digest)
-      OR EXISTS (SELECT 1 FROM target a
-        JOIN target sr ON sr.installation_digest = a.installation_digest AND sr.generation = a.generation
-          AND sr.operation = {_REG}
-        JOIN target sa ON sa.installation_digest = a.installation_digest AND sa.generation = a.generation
-          AND sa.operation = {_ACC} AND sa.candidate_event_id = a.event_id
-          AND sa.predecessor_event_id = a.event_id
-        JOIN target pa ON pa.installation_digest = a.installation_digest AND pa.operation = {_ACC}
-          AND pa.roster_anchor_event_id = a.event_id AND pa.roster_anchor_digest = a.roster_anchor_digest
-        WHERE a.event_id = f.roster_anchor_event_id AND a.operation = {_CAND}
-          AND a.roster_anchor_event_id = a.event_id AND a.roster_anchor_digest = a.roster_observation_digest
-          AND {' AND '.join(f'a.{c} = f.{c}' for c in led.ANCHOR_EQUAL)}
-          AND pa.generation = f.generation - 1 AND pa.deployment_id = f.deployment_id
-          AND pa.deployment_mode = f.deployment_mode AND pa.stable_graph_digest = f.stable_graph_digest
-          AND pa.deployment_set_after_digest = f.deployment_set_after_digest
-          AND f.statement_evaluated_at >= a.statement_evaluated_at
-          AND f.statement_evaluated_at < a.statement_evaluated_at + INTERVAL 24 HOUR
-          AND EXISTS (SELECT 1 FROM target r WHERE r.event_id = f.predecessor_event_id
-            AND r.operation = {_REG} AND r.reason = 'UNCHANGED_REFRESH')
-          AND (SELECT count(*) FROM target x WHERE x.installation_digest = a.installation_digest
-            AND x.generation = a.generation) = 3))"""),
-    led.ACCEPT: (f"operation IN ({_REG}, {_CAND})", f"""f.event_id = {_dig('event-id', 'f.')}
-    AND f.acceptance_digest = {_dig('acceptance-digest', 'f.')}
+    AND (f.new_deployment_count = 1 OR len(f.before) > 0)
+    AND CASE WHEN f.roster_anchor_event_id = f.event_id THEN f.roster_anchor_digest = f.roster_observation_digest
+      ELSE g.r.reason = 'UNCHANGED_REFRESH' AND len(list_filter(anchors, lambda x:
+        {_alike(led.ANCHOR_EQUAL, "x", "f")} AND x.operation = {_CAND}
+        AND x.roster_anchor_event_id = x.event_id AND x.roster_anchor_digest = x.roster_observation_digest
+        AND f.statement_evaluated_at >= x.statement_evaluated_at
+        AND f.statement_evaluated_at < x.statement_evaluated_at + {_DAY} AND x.complete
+        AND len(list_filter(f.before, lambda y: y.roster_anchor_event_id = x.event_id
+          AND y.roster_anchor_digest = x.roster_anchor_digest)) > 0)) > 0 END""",
+    led.ACCEPT: f"""g.n = 2 AND g.k.row_valid AND g.k.twins = 1 AND f.acceptance_digest = {_dig('acceptance-digest', 'f.')}
+    AND [f.candidate_event_id, f.predecessor_event_id] = [g.k.event_id, g.k.event_id]
+    AND f.candidate_statement_evaluated_at = g.k.statement_evaluated_at
+    AND {_alike(led.REPEATED, "g.k", "f", "IS NOT DISTINCT FROM")}
     AND f.post_start_machine_observation_digest = {_machine('post_start', 'f.')}
     AND f.post_start_machine_observation_digest <> f.pre_start_machine_observation_digest
-    AND (SELECT count(*) FROM target x WHERE x.installation_digest = f.installation_digest
-      AND x.generation = f.generation) = 2
-    AND EXISTS (SELECT 1 FROM tvalid c WHERE c.event_id = f.candidate_event_id AND c.row_valid
-      AND c.event_id = f.predecessor_event_id AND c.installation_digest = f.installation_digest
-      AND c.generation = f.generation AND c.operation = {_CAND}
-      AND c.statement_evaluated_at = f.candidate_statement_evaluated_at
-      AND {' AND '.join(f'c.{c} IS NOT DISTINCT FROM f.{c}' for c in led.REPEATED)})
-    AND (SELECT count(*) FROM target x WHERE x.event_id = f.candidate_event_id) = 1
-    AND EXISTS (SELECT 1 FROM tvalid a WHERE a.event_id = f.roster_anchor_event_id AND a.row_valid
-      AND a.operation = {_CAND} AND a.roster_anchor_event_id = a.event_id
-      AND a.roster_anchor_digest = f.roster_anchor_digest
-      AND a.statement_evaluated_at = f.roster_statement_evaluated_at)
-    AND (SELECT count(*) FROM target x WHERE x.event_id = f.roster_anchor_event_id) = 1"""),
-    led.INVALIDATE: (f"operation <> {_INV}", f"""f.event_id = {_dig('event-id', 'f.')}
-    AND EXISTS (SELECT 1 FROM target p WHERE p.event_id = f.predecessor_event_id
-      AND p.installation_digest = f.installation_digest AND p.generation = f.generation
-      AND p.event_id = f.target_event_id AND p.snapshot_id IS NOT DISTINCT FROM f.target_snapshot_id)
-    AND NOT EXISTS (SELECT 1 FROM target s WHERE s.installation_digest = f.installation_digest
-      AND s.generation = f.generation AND s.predecessor_event_id = f.predecessor_event_id)"""),
+    AND len(anchors) = 1 AND anchors[1].row_valid AND anchors[1].operation = {_CAND}
+    AND anchors[1].roster_anchor_event_id = anchors[1].event_id
+    AND anchors[1].roster_anchor_digest = f.roster_anchor_digest
+    AND anchors[1].statement_evaluated_at = f.roster_statement_evaluated_at""",
+    led.INVALIDATE: """f.target_event_id = f.predecessor_event_id
+    AND len(list_filter(g.rows, lambda x: x.event_id = f.target_event_id
+      AND x.snapshot_id IS NOT DISTINCT FROM f.target_snapshot_id)) > 0
+    AND NOT list_contains(list_transform(g.rows, lambda x: x.predecessor_event_id), f.predecessor_event_id)""",
 }
 
 
 def _pre_sql(operation):
-    keep, rule = _PRE[operation]
     tvalid = VALID.replace("FROM ledger", "FROM target").replace(
         "own AS", "town AS").replace("FROM own o", "FROM town o").replace(
         "copies AS", "tcopies AS").replace("JOIN copies", "JOIN tcopies").replace(
         "\nvalid AS", "\ntvalid AS")
-    return f"""target AS (SELECT * FROM ledger WHERE {keep}),
-inputs AS (SELECT DISTINCT * FROM ledger WHERE operation = '{operation}'), {tvalid}, {_LINK},
-checked AS (SELECT f.*, coalesce({rule}, FALSE) AS eligible FROM linked f)"""
+    return f"""target AS (SELECT * FROM ledger WHERE {_KEEP[operation]}),
+inputs AS (SELECT DISTINCT * FROM ledger WHERE operation = '{operation}'), {tvalid},
+{_generations("tvalid", "tgen")},
+newest AS (SELECT installation_digest, max(generation) AS generation, max_by(rows, generation) AS rows
+  FROM tgen GROUP BY 1),
+anchor AS (SELECT x.event_id AS anchor_id, list(struct_insert(x, complete := n = 3 AND n_r = 1 AND n_a = 1
+    AND a.candidate_event_id = x.event_id AND a.predecessor_event_id = x.event_id)) AS anchors
+  FROM (SELECT unnest(rows) AS x, n, n_r, n_a, a FROM tgen) GROUP BY 1),
+{_LINK},
+near AS (SELECT l.*, list_filter(coalesce(b.rows, []), lambda x: x.operation = {_ACC}
+    AND {_alike(["deployment_id", "deployment_mode", "deployment_set_after_digest", "stable_graph_digest"],
+                "x", "l")}) AS before
+  FROM linked l LEFT JOIN tgen b ON b.installation_digest = l.installation_digest
+    AND b.generation = l.generation - 1),
+checked AS (SELECT f.*, coalesce(f.event_id = {_dig('event-id', 'f.')} AND {_ASKED[operation]}, FALSE) AS eligible
+  FROM near f LEFT JOIN tgen g USING (installation_digest, generation)
+  LEFT JOIN newest z ON z.installation_digest = f.installation_digest
+  LEFT JOIN anchor ON anchor_id = f.roster_anchor_event_id)"""
 
 
 def _pre(name, operation):
     sql = f"""WITH {_pre_sql(operation)} SELECT {_ID}, eligible FROM checked"""
-    keep = _PRE[operation][0]
+    keep = _KEEP[operation]
 
     def run(t):
         inputs, target = _stage(t, F.expr(keep), operation)
@@ -451,7 +436,7 @@ _pre("led_pre_invalidate", led.INVALIDATE)
 
 @query("led_append", L, f"""WITH {_pre_sql(led.REGISTER)},
 added AS (SELECT * FROM checked WHERE eligible AND event_id NOT IN (SELECT event_id FROM target)),
-timed AS (SELECT * REPLACE (TIMESTAMP '{AS_OF}' AS statement_evaluated_at,
+timed AS (SELECT * EXCLUDE (before) REPLACE (TIMESTAMP '{AS_OF}' AS statement_evaluated_at,
   CAST(NULL AS TIMESTAMP) AS valid_until, CAST(NULL AS STRING) AS snapshot_id) FROM added),
 paid AS (SELECT * REPLACE ({_dig('payload-digest')} AS payload_digest) FROM timed),
 rec AS (SELECT * REPLACE ({_dig('server-record')} AS server_record_digest) FROM paid)
