@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from runlumen.schemas import LOOKBACK_HOURS
+from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -14,15 +13,28 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int
     return stream.withColumn("ts", stream["ts"].cast("timestamp"))
 
 
-def first_within_lookback(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """First occurrence of a key; repeats within 24 hours of event time are dropped."""
-    return stream.withWatermark("ts", f"{LOOKBACK_HOURS} hours").dropDuplicatesWithinWatermark(keys)
+def drain_first(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
+    """Append the first arrival of each key; repeats, however late, are dropped and nothing else is.
+
+    Each micro-batch drops its own repeats and those of keys stored by earlier batches. A repeat of an
+    event carries the event's own time, so keys are stored by day and a batch meets only the days it
+    has rows of. A batch that runs again replaces its own folder.
+    """
 
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.withColumn("day", F.to_date("ts")).dropDuplicates(["day", *keys])
+        if number:
+            kinds = dict(batch.dtypes)
+            columns = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["batch long", "day date"])
+            stored = spark.read.schema(columns).option("basePath", out).parquet(out)
+            stored = stored.filter(F.col("batch") < number).drop("batch")
+            fresh = fresh.join(stored, ["day", *keys], "left_anti")
+        fresh.select(*batch.columns, "day").write.mode("overwrite").partitionBy("day").parquet(
+            f"{out}/batch={number}")
 
-def drain_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run over everything available, exactly once per input file, then stop."""
     query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -1,101 +1,50 @@
-"""Lifecycle of attempts as keyed state with an event-time lease timer."""
+"""Lifecycle of attempts, folded again for the attempts that new events touch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from runlumen.schemas import LEASE_MINUTES, MAX_ATTEMPTS
+from runlumen.operators.lifecycle import LEASE, fold
+from runlumen.schemas import MAX_ATTEMPTS
 
-OUTPUT = T.StructType([
-    T.StructField("attempt", T.LongType()), T.StructField("state", T.StringType()),
-    T.StructField("attempts", T.IntegerType()), T.StructField("last_micros", T.LongType()),
-    T.StructField("step", T.LongType()),
-])
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Before any lease can end: stored states keep running claims open, ``latest`` ends them by the clock.
+_NEVER = "0001-01-01 00:00:00"
 
 
-def _processor(lease: int, most: int):
-    """Processor built locally so that executors need no copy of this package."""
-    from pyspark.sql import Row
-    from pyspark.sql.streaming import StatefulProcessor
+def drain_lifecycle(stream: DataFrame, store: str, out: str, checkpoint: str) -> None:
+    """Keep events (attempt, event_id, ts, action) and states of attempts up to date, then stop.
 
-    class Lifecycle(StatefulProcessor):
-        def init(self, handle):
-            self.handle = handle
-            self.value = handle.getValueState(
-                "root", "state STRING, attempts INT, last_micros BIGINT, step BIGINT")
-
-        def _load(self):
-            return tuple(self.value.get()) if self.value.exists() else ("ABSENT", 0, None, 0)
-
-        def _save(self, key, state, attempts, last, step):
-            self.value.update((state, attempts, last, step))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if state == "COLLECTING":
-                self.handle.registerTimer(-(-(last + lease) // 1000))
-            return Row(attempt=key[0], state=state, attempts=attempts, last_micros=last, step=step)
-
-        def handleInputRows(self, key, rows, timerValues):  # noqa: N803 - called with keywords
-            state, attempts, last, step = self._load()
-            # one batch of one attempt; order within the batch is restored here
-            for row in sorted(rows, key=lambda r: (r.micros, r.event_id)):
-                failed = "TERMINAL_FAILURE" if attempts >= most else "RETRYABLE"
-                if state == "ABSENT":
-                    state = "DISCOVERED" if row.action == "discover" else state
-                elif state in ("DISCOVERED", "RETRYABLE"):
-                    if row.action == "claim" and attempts < most:
-                        state, attempts, last = "COLLECTING", attempts + 1, row.micros
-                elif state == "COLLECTING":
-                    late = row.micros >= last + lease
-                    if row.action == "publish":
-                        state = "PUBLISHED"
-                    elif row.action == "fail" or (row.action in ("discover", "tick") and late):
-                        state = failed
-            yield self._save(key, state, attempts, last, step + 1)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
-            state, attempts, last, step = self._load()
-            if state == "COLLECTING":
-                state = "TERMINAL_FAILURE" if attempts >= most else "RETRYABLE"
-                yield self._save(key, state, attempts, last, step + 1)
-
-        def close(self):
-            pass
-
-    return Lifecycle()
-
-
-def track(stream: DataFrame) -> DataFrame:
-    """Updates of the lifecycle state per attempt from a stream of (attempt, event_id, ts, action).
-
-    Needs the RocksDB state store. State per attempt is one small row; the events of an attempt
-    inside one micro-batch are bounded by the batch size the source is given.
+    Each micro-batch appends its events to ``store`` and folds all stored events of the attempts it
+    touches, so the result depends neither on how events are cut into batches nor on their order. A
+    batch that runs again replaces its own folders.
     """
-    rows = stream.withWatermark("ts", "0 seconds").select(
-        "attempt", "event_id", "action", "ts",
-        F.unix_micros("ts").alias("micros"))
-    return rows.groupBy("attempt").transformWithState(
-        statefulProcessor=_processor(LEASE_MINUTES * 60_000_000, MAX_ATTEMPTS),
-        outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
-
-
-def drain_updates(updates: DataFrame, out: str, checkpoint: str) -> None:
-    """Append each micro-batch of updates; a replayed batch overwrites its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        known = spark.read.schema(f"{_ddl(batch)}, batch long").option("basePath", store).parquet(store)
+        known = known.filter(F.col("batch") <= number).drop("batch").dropDuplicates(["attempt", "event_id"])
+        touched = spark.read.schema(batch.schema).parquet(f"{store}/batch={number}").select("attempt").distinct()
+        clock = F.lit(_NEVER).cast(dict(batch.dtypes)["ts"])
+        fold(known.join(touched, "attempt", "left_semi"), clock).withColumn(
+            "step", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
-        updates.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def latest(updates: DataFrame) -> DataFrame:
-    """Newest state per attempt from the written updates."""
-    newest = F.max_by(F.struct("state", "attempts", "last_micros"), "step")
-    return updates.groupBy("attempt").agg(newest.alias("s")).select("attempt", "s.*")
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
+
+
+def latest(updates: DataFrame, as_of: Column) -> DataFrame:
+    """Newest state per attempt; a claim whose lease has ended by ``as_of`` has failed."""
+    newest = F.max_by(F.struct("state", "attempts", "last_attempted_at"), "step")
+    rows = updates.groupBy("attempt").agg(newest.alias("s")).select("attempt", "s.*")
+    over = (F.col("state") == "COLLECTING") & (as_of >= F.col("last_attempted_at") + F.expr(LEASE))
+    failed = F.when(F.col("attempts") >= MAX_ATTEMPTS, "TERMINAL_FAILURE").otherwise("RETRYABLE")
+    return rows.withColumn("state", F.when(over, failed).otherwise(F.col("state")))
