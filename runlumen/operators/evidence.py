@@ -1,8 +1,8 @@
 """Evidence members and capture states.
 
-A member row is (attempt, seq, path, kind, declared_size, read_size). A scan stops at the first
-member that breaks a rule, and no member after position 4096 can be the first one that matters, so
-windows run over at most 4097 rows of an attempt however many it has.
+A member row is (attempt, seq, path, kind, declared_size, read_size). Positions and running sizes of an
+attempt are prefix sums in two levels, over blocks of ``seq`` and inside each block, so an attempt with
+very many members is spread over tasks.
 """
 
 from __future__ import annotations
@@ -26,24 +26,36 @@ KEY = ["dbt_task_run_id"]
 PRIMARIES = {"manifest.json": "MANIFEST", "run_results.json": "RUN_RESULTS"}
 
 
+#: Members of an attempt numbered together.
+BLOCK = 4096
+
+
 def scanned(members: DataFrame) -> DataFrame:
-    """Members a bounded scan can reach, with normalized path and the running facts."""
-    first = Window.partitionBy(*KEY, "normal").orderBy("seq")
-    running = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    """All members with normalized path, position in the attempt, running size and earlier copies."""
     size = F.when(F.col("kind") == "file", F.col("declared_size")).otherwise(F.lit(0))
+    rows = members.withColumns({
+        "normal": normal_path(F.col("path")), "block": F.floor(F.col("seq") / BLOCK), "bytes": size})
+    sums = rows.groupBy(*KEY, "block").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
+    earlier = Window.partitionBy(*KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *KEY, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("members_before"),
+        F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("bytes_before"))
+    firsts = rows.groupBy(*KEY, "normal").agg(F.min("seq").alias("first_seq"))
+    inside = Window.partitionBy(*KEY, "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumns({
+        "nth": F.count("*").over(inside), "sum_bytes": F.sum("bytes").over(inside)})
     return (
-        members.filter(F.col("seq") <= MAX_MEMBERS + 1)
-        .withColumn("normal", normal_path(F.col("path")))
-        # the running size comes first: its shuffle by attempt also serves the second window
-        .withColumn("expanded_bytes", F.sum(size).over(running))
-        .withColumn("copy_no", F.row_number().over(first))
+        counted.join(offsets, [*KEY, "block"]).join(firsts, [*KEY, "normal"])
+        .withColumn("position", F.col("members_before") + F.col("nth"))
+        .withColumn("expanded_bytes", F.col("bytes_before") + F.col("sum_bytes"))
+        .withColumn("repeated", F.col("seq") > F.col("first_seq"))
     )
 
 
 def log_path(normal: Column, key: Column, include_deps: Column, root: str) -> Column:
     """True where a normalized path is one of the governed log files of the attempt."""
     base = F.concat(F.lit(root), key)
-    tail = F.substring(normal, F.length(base) + 1, F.lit(4096))
+    tail = F.substr(normal, F.length(base) + 1)
     governed = tail.rlike(rf"^/(000-deps|001-build)/logs/dbt\.log(\.[1-{MAX_LOG_FILES - 1}])?$")
     return F.startswith(normal, base) & governed & (
         include_deps | F.startswith(tail, F.lit("/001-build/")))
@@ -57,9 +69,9 @@ def member_codes(root: str = "target/attempts/") -> dict[str, Column]:
     primary = is_file & ~is_log & name.isin(list(PRIMARIES))
     expected = F.concat(F.lit(root), F.col("attempt_key"), F.lit("/001-build/artifacts/"), name)
     codes = {
-        "DBT_ARCHIVE_MEMBER_LIMIT_EXCEEDED": F.col("seq") > MAX_MEMBERS,
+        "DBT_ARCHIVE_MEMBER_LIMIT_EXCEEDED": F.col("position") > MAX_MEMBERS,
         "DBT_ARCHIVE_PATH_UNSAFE": ~path_safe(F.col("path")),
-        "DBT_ARCHIVE_MEMBER_DUPLICATE": F.col("copy_no") > 1,
+        "DBT_ARCHIVE_MEMBER_DUPLICATE": F.col("repeated"),
         "DBT_ARCHIVE_LOG_PATH_UNEXPECTED": F.startswith(name, F.lit("dbt.log")) & ~is_log,
         "DBT_ARCHIVE_MEMBER_TYPE_UNSAFE": (is_dir & is_log) | ~(is_dir | is_file)
         | (is_file & (F.col("declared_size") < 0)),
@@ -82,9 +94,9 @@ def member_code(root: str = "target/attempts/") -> Column:
 
 
 def first_violation(members: DataFrame, root: str = "target/attempts/") -> DataFrame:
-    """Per attempt the earliest violation in member order; its position is the member count."""
+    """Per attempt the earliest violation in member order and the members up to it, or all of them."""
     coded = scanned(members).withColumn("code", member_code(root))
-    bad = F.when(F.col("code").isNotNull(), F.col("seq"))
+    bad = F.when(F.col("code").isNotNull(), F.col("position"))
     return coded.groupBy(*KEY).agg(
         F.min_by("code", bad).alias("issue_code"),
         F.coalesce(F.min(bad), F.count("*")).alias("member_count"),

@@ -18,6 +18,8 @@ from runlumen.schemas import (
     SAFE_COLLECTION_CODES,
 )
 
+#: Task ids numbered together in a replay plan.
+REPLAY_BLOCK = 1 << 16
 LEASE = f"INTERVAL '{LEASE_MINUTES}' MINUTE"
 
 
@@ -42,7 +44,8 @@ def task_ids(pages: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def discovery_guard(pages: DataFrame) -> DataFrame:
+def discovery_guard(pages: DataFrame, most_parents: int = MAX_PARENTS, most_pages: int = MAX_PAGES,
+                    most_tasks: int = MAX_TASK_IDS) -> DataFrame:
     """Per job: parents, pages and task ids seen; a bound that is passed is an error, never a cut."""
     ids = task_ids(pages).groupBy("job_id").agg(F.count("*").alias("task_ids"))
     per_parent = pages.groupBy("job_id", "run_id").agg(
@@ -50,9 +53,9 @@ def discovery_guard(pages: DataFrame) -> DataFrame:
     counts = per_parent.groupBy("job_id").agg(
         F.count("*").alias("parents"), F.max("pages").alias("most_pages"))
     error = (
-        F.when(F.col("parents") > MAX_PARENTS, "RECONCILIATION_PARENT_LIMIT_EXCEEDED")
-        .when(F.col("most_pages") > MAX_PAGES, "RECONCILIATION_PARENT_PAGINATION_INVALID")
-        .when(F.col("task_ids") > MAX_TASK_IDS, "RECONCILIATION_TASK_LIMIT_EXCEEDED")
+        F.when(F.col("parents") > most_parents, "RECONCILIATION_PARENT_LIMIT_EXCEEDED")
+        .when(F.col("most_pages") > most_pages, "RECONCILIATION_PARENT_PAGINATION_INVALID")
+        .when(F.col("task_ids") > most_tasks, "RECONCILIATION_TASK_LIMIT_EXCEEDED")
     )
     return counts.join(ids, "job_id", "left").fillna(0, ["task_ids"]).withColumn(
         "error_code", error)
@@ -153,39 +156,42 @@ def record_failures(roots: DataFrame, failures: DataFrame, keys: list[str]) -> D
         *roots.columns)
 
 
-def replay_plan(roots: DataFrame, scope: list[str]) -> DataFrame:
-    """Attempts one pass may replay per scope: ascending task id, at most 20.
+def replay_plan(roots: DataFrame, scope: list[str], size: int = MAX_REPLAYS,
+                block: int = REPLAY_BLOCK) -> DataFrame:
+    """Claimable attempts per scope by ascending task id; a pass replays the first ``size``.
 
-    Spark prunes a ``row_number() <= k`` before the shuffle, so a scope of any size sends at most
-    20 rows per task to its window.
+    Positions are counted over blocks of task ids and inside each block, so no task holds a scope.
     """
-    order = Window.partitionBy(*scope).orderBy("dbt_task_run_id")
-    return (
-        roots.filter(claimable())
-        .select(*scope, "dbt_task_run_id")
-        .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= MAX_REPLAYS)
-    )
-
-
-def replay_backlog(roots: DataFrame, scope: list[str]) -> DataFrame:
+    rows = roots.filter(claimable()).select(*scope, "dbt_task_run_id").withColumn(
+        "replay_block", F.floor(F.col("dbt_task_run_id") / block))
+    earlier = Window.partitionBy(*scope).orderBy("replay_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*scope, "replay_block").agg(F.count("*").alias("n")).select(
+        *scope, "replay_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    order = Window.partitionBy(*scope, "replay_block").orderBy("dbt_task_run_id")
+    position = F.col("before") + F.col("nth")
+    return rows.withColumn("nth", F.row_number().over(order)).join(offsets, [*scope, "replay_block"]).select(
+        *scope, "dbt_task_run_id", position.alias("position"), (position <= size).alias("selected"))
+
+
+def replay_backlog(roots: DataFrame, scope: list[str], size: int = MAX_REPLAYS) -> DataFrame:
     """Claimable attempts per scope and whether some have to wait for the next pass."""
     return roots.filter(claimable()).groupBy(*scope).agg(
         F.count("*").alias("claimable"),
-        F.least(F.count("*"), F.lit(MAX_REPLAYS)).alias("attempted"),
-        (F.count("*") > MAX_REPLAYS).alias("backlog"),
+        F.least(F.count("*"), F.lit(size)).alias("attempted"),
+        (F.count("*") > size).alias("backlog"),
     )
 
 
-def reconcile_summary(roots: DataFrame, scope: list[str]) -> DataFrame:
+def reconcile_summary(roots: DataFrame, scope: list[str], size: int = MAX_REPLAYS) -> DataFrame:
+    """Counts per scope; ``attempted`` is what a pass of ``size`` takes on."""
     state = F.col("collector_state")
     return roots.groupBy(*scope).agg(
         F.count("*").alias("discovered"),
-        F.least(F.count_if(claimable()), F.lit(MAX_REPLAYS)).alias("attempted"),
+        F.least(F.count_if(claimable()), F.lit(size)).alias("attempted"),
         F.count_if(state == "PUBLISHED").alias("published"),
         F.count_if(state == "RETRYABLE").alias("retryable"),
         F.count_if(state == "TERMINAL_FAILURE").alias("terminal_failure"),
-        (F.count_if(claimable()) > MAX_REPLAYS).alias("backlog"),
+        (F.count_if(claimable()) > size).alias("backlog"),
     )
 
 

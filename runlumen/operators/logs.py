@@ -105,9 +105,7 @@ def parsed_lines(exploded: DataFrame) -> DataFrame:
         F.coalesce(kind("$.info") == "OBJECT", F.lit(False))
         & F.coalesce(kind("$.data") == "OBJECT", F.lit(False))
     )
-    # 257 levels need at least 514 characters
-    deep = F.when(F.length("line") >= 2 * (MAX_JSON_DEPTH + 1),
-                  json_depth(F.col("line")) > MAX_JSON_DEPTH).otherwise(F.lit(False))
+    deep = json_depth(F.col("line")) > MAX_JSON_DEPTH
     read = strict_objects(exploded).select(
         *exploded.columns, shaped.alias("shaped"), deep.alias("deep"), name.alias("name"),
         invocation.alias("invocation"), version.alias("version"))
@@ -173,23 +171,16 @@ def states(expected: DataFrame, files: DataFrame, exploded: DataFrame,
 
 
 def reconstruct(files: DataFrame, keys: list[str], content: str) -> DataFrame:
-    """Bytes of the rotations joined oldest first, hashed.
+    """Bytes of the rotations joined oldest first, hashed; null if a rotation is there twice.
 
-    At most six files of at most 20 MiB each take part, one column per rotation, so a group is
-    bounded and nothing is collected; a set with any other file gets no digest.
+    A digest runs over its bytes in order, so the files of one log meet in one row, however many.
     """
-    size = F.octet_length(content)
-    governed = F.col("rotation").between(0, MAX_LOG_FILES - 1) & (size <= MAX_LOG_FILE_BYTES)
-    per_rotation = [
-        F.max(F.when(governed & (F.col("rotation") == r), F.col(content))).alias(f"r{r}")
-        for r in range(MAX_LOG_FILES)
-    ]
+    ordered = F.array_sort(F.collect_list(F.struct(
+        (-F.col("rotation")).alias("age"), F.col(content).alias("body"))))
     grouped = files.groupBy(*keys).agg(
         F.count("*").alias("file_count"), F.count_distinct("rotation").alias("rotation_count"),
-        F.sum(size.cast("bigint")).alias("size_bytes"), F.bool_and(governed).alias("governed"),
-        *per_rotation)
-    oldest_first = F.concat(
-        *(F.coalesce(F.col(f"r{r}"), F.lit("")) for r in reversed(range(MAX_LOG_FILES))))
-    usable = F.col("governed") & (F.col("file_count") == F.col("rotation_count"))
+        F.sum(F.octet_length(content).cast("bigint")).alias("size_bytes"), ordered.alias("files"))
+    whole = F.array_join(F.transform("files", lambda x: x["body"]), "")
+    usable = F.col("file_count") == F.col("rotation_count")
     return grouped.select(
-        *keys, "file_count", "size_bytes", F.when(usable, sha256(oldest_first)).alias("sha256"))
+        *keys, "file_count", "size_bytes", F.when(usable, sha256(whole)).alias("sha256"))

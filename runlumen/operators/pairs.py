@@ -14,7 +14,6 @@ from runlumen.schemas import (
     ISSUE_CATALOGUE,
     ISSUE_CODES,
     MAX_DOCUMENT_BYTES,
-    MAX_ISSUES,
     MAX_JSON_DEPTH,
     NODE_COLUMNS,
     POLICY,
@@ -259,10 +258,10 @@ def first_stage_codes() -> Column:
 
 
 def sorted_issues(codes: Column) -> Column:
-    """Unique codes by precedence, at most 20."""
+    """Unique codes by precedence."""
     ranked = F.transform(F.array_distinct(codes), lambda c: F.struct(
         rank_of(c).alias("rank"), c.alias("code")))
-    return F.slice(F.transform(F.array_sort(ranked), lambda s: s["code"]), 1, MAX_ISSUES)
+    return F.transform(F.array_sort(ranked), lambda s: s["code"])
 
 
 def judge(meta: DataFrame, results: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:

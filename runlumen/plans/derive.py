@@ -407,7 +407,11 @@ def log_artifacts(d):
 
 @_relation
 def members(d):
-    """Archive members of every attempt: five fixed entries, then one file per node."""
+    """Archive members of every attempt: five fixed entries, then one file per node.
+
+    A few attempts have 4,200 files more.
+    """
+    many, few = (d.array(*(f"CAST({i} AS BIGINT)" for i in range(n))) for n in (60, 70))
     root = "concat('target/attempts/', attempt_key)"
     slots = d.array(*(d.struct(slot_no=f"CAST({n} AS BIGINT)", slot=f"'{slot}'") for n, slot in
                       enumerate(("dir", "manifest", "run_results", "log", "deps_log"), 1)))
@@ -424,6 +428,7 @@ def members(d):
       WHEN fault = 3 AND line = 2 THEN '../escape'
       WHEN fault = 4 AND line >= 3 THEN 'compiled/same.sql'
       WHEN fault = 5 AND line = 1 THEN 'logs/dbt.log.9'
+      WHEN line = 0 THEN concat('compiled/m', CAST(seq AS STRING), '.sql')
       ELSE concat('compiled/l', CAST(line AS STRING), '.sql') END AS path,
     CASE WHEN slot = 'dir' THEN 'dir' WHEN fault = 6 AND line = 4 THEN 'symlink' ELSE 'file' END
       AS kind,
@@ -443,6 +448,11 @@ def members(d):
       CAST(1000 + slot.slot_no AS BIGINT), attempt_key, include_deps, fault
     FROM (SELECT *, {d.explode(slots)} AS slot FROM attempt_shape) shaped
     WHERE (slot.slot <> 'manifest' OR has_manifest) AND (slot.slot <> 'run_results' OR has_results)
+    UNION ALL
+    SELECT dbt_task_run_id, CAST(1000 + 70 * tens + ones AS BIGINT), 'node', CAST(0 AS INT),
+      CAST(10 AS BIGINT), attempt_key, include_deps, fault
+    FROM (SELECT *, {d.explode(few)} AS ones FROM (SELECT *, {d.explode(many)} AS tens FROM attempt_shape
+      WHERE dbt_task_run_id % 1499 = 7) tall) taller
   ) all_members"""
 
 

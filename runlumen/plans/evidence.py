@@ -11,11 +11,11 @@ from runlumen.plans.pairs import _STAGES, RESOLVED, STATUS
 KEYS = ["dbt_task_run_id"]
 
 # members as the scan sees them: normalized path, earlier copies and running size, from self-joins
-SCAN = r"""shape AS (SELECT *, rtrim(replace(path, '/./', '/'), '/') AS norm FROM members WHERE seq <= 4097),
+SCAN = r"""shape AS (SELECT *, rtrim(replace(path, '/./', '/'), '/') AS norm,
+    row_number() OVER (PARTITION BY dbt_task_run_id ORDER BY seq) AS position FROM members),
 before AS (SELECT dbt_task_run_id, norm, min(seq) AS first_seq FROM shape GROUP BY 1, 2),
-sized AS (SELECT a.dbt_task_run_id, a.seq, sum(CASE b.kind WHEN 'file' THEN b.declared_size ELSE 0 END)
-    AS running FROM shape a JOIN shape b ON b.dbt_task_run_id = a.dbt_task_run_id AND b.seq <= a.seq
-  GROUP BY 1, 2),
+sized AS (SELECT dbt_task_run_id, seq, sum(CASE kind WHEN 'file' THEN declared_size ELSE 0 END)
+    OVER (PARTITION BY dbt_task_run_id ORDER BY seq) AS running FROM shape),
 scan AS (SELECT s.*, s.seq > first_seq AS repeated, running,
     regexp_extract(norm, '[^/]*$') AS base,
     regexp_matches(norm, '^target/attempts/' || attempt_key || '/' || CASE WHEN include_deps
@@ -24,7 +24,7 @@ scan AS (SELECT s.*, s.seq > first_seq AS repeated, running,
 prim AS (SELECT *, kind = 'file' AND NOT is_log AND base IN ('manifest.json', 'run_results.json') AS is_primary,
     'target/attempts/' || attempt_key || '/001-build/artifacts/' || base AS wanted FROM scan)"""
 RULES = {
-    "DBT_ARCHIVE_MEMBER_LIMIT_EXCEEDED": "seq > 4096",
+    "DBT_ARCHIVE_MEMBER_LIMIT_EXCEEDED": "position > 4096",
     "DBT_ARCHIVE_PATH_UNSAFE": "path LIKE '../%'",
     "DBT_ARCHIVE_MEMBER_DUPLICATE": "repeated",
     "DBT_ARCHIVE_LOG_PATH_UNEXPECTED": "base LIKE 'dbt.log%' AND NOT is_log",
@@ -40,7 +40,7 @@ RULES = {
 CODED = f"""{SCAN}, coded_members AS (SELECT *, CASE
   {' '.join(f"WHEN {cond} THEN '{code}'" for code, cond in RULES.items())} END AS member_code FROM prim),
 firsts AS (SELECT dbt_task_run_id, arg_min(member_code, seq) FILTER (member_code IS NOT NULL)
-    AS issue_code, coalesce(min(seq) FILTER (member_code IS NOT NULL), count(*)) AS member_count
+    AS issue_code, coalesce(min(position) FILTER (member_code IS NOT NULL), count(*)) AS member_count
   FROM coded_members GROUP BY 1)"""
 
 
@@ -209,7 +209,7 @@ def _(t):
 
 @query("log_reconstruct", None, """
 SELECT conv_id, count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS size_bytes,
-  CASE WHEN max(turn) <= 5 AND count(*) = count(DISTINCT turn)
+  CASE WHEN count(*) = count(DISTINCT turn)
     THEN sha256(string_agg(text, '' ORDER BY turn DESC)) END AS sha256
 FROM conversations GROUP BY conv_id""")
 def _(t):

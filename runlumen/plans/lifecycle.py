@@ -149,13 +149,13 @@ def _(t):
 c AS (SELECT observed_job_id, dbt_task_run_id, row_number() OVER (PARTITION BY observed_job_id
     ORDER BY dbt_task_run_id) AS position, count(*) OVER (PARTITION BY observed_job_id) AS claimable
   FROM roots WHERE {_CLAIMABLE})
-SELECT observed_job_id, dbt_task_run_id, position, claimable, claimable > 20 AS backlog FROM c
-WHERE position <= 20""")
+SELECT observed_job_id, dbt_task_run_id, position, position <= 20 AS selected, claimable,
+  claimable > 20 AS backlog FROM c""")
 def _(t):
     roots, scope = _roots(t), ["observed_job_id"]
     backlog = life.replay_backlog(roots, scope).select(*scope, "claimable", "backlog")
     return life.replay_plan(roots, scope).join(backlog, scope).select(
-        *scope, "dbt_task_run_id", F.col("position").cast("bigint"), "claimable", "backlog")
+        *scope, "dbt_task_run_id", F.col("position").cast("bigint"), "selected", "claimable", "backlog")
 
 
 @query("agg_reconcile_summary", ["registry"], f"""WITH {_ROOTS}

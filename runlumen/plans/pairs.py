@@ -185,7 +185,7 @@ shown AS (SELECT DISTINCT s.dbt_task_run_id, code, list_position([{', '.join(rep
     ON f.dbt_task_run_id = s.dbt_task_run_id AND f.stage = s.stage),
 verdicts AS (SELECT m.dbt_task_run_id,
     CASE WHEN count(code) = 0 THEN 'PAIR_VALID' ELSE 'PAIR_INVALID' END AS pair_state,
-    coalesce(list(code ORDER BY rank) FILTER (code IS NOT NULL), [])[1:20] AS issue_codes,
+    coalesce(list(code ORDER BY rank) FILTER (code IS NOT NULL), []) AS issue_codes,
     arg_min(code, rank) AS primary_code
   FROM document_meta m LEFT JOIN shown USING (dbt_task_run_id) GROUP BY 1)"""
 ALL = ["document_meta", "result_rows", "inventory"]

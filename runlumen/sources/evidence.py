@@ -69,11 +69,16 @@ def attempt_evidence(classified: DataFrame) -> DataFrame:
 
 
 def documents_by_attempt(classified: DataFrame) -> DataFrame:
-    """Both documents of each attempt side by side; at most one file exists per exact path."""
-    content = {kind: F.max(F.when(F.col("role") == kind, F.col("content")))
-               for kind in ("manifest", "run_results")}
-    return classified.filter(F.col("size_ok") & (F.col("role") != "log")).groupBy(
-        "attempt_key").agg(*(agg.alias(kind) for kind, agg in content.items()))
+    """Both documents of each attempt side by side; at most one file exists per exact path.
+
+    A document over the size limit has no content here and a flag; its attempt stays.
+    """
+    columns = []
+    for kind in ("manifest", "run_results"):
+        own = F.col("role") == kind
+        columns += [F.max(F.when(own & F.col("size_ok"), F.col("content"))).alias(kind),
+                    F.coalesce(F.bool_or(own & ~F.col("size_ok")), F.lit(False)).alias(f"{kind}_too_large")]
+    return classified.filter(F.col("role") != "log").groupBy("attempt_key").agg(*columns)
 
 
 def tree_digest(files: DataFrame, tree: list[str], path: str, content: str) -> DataFrame:

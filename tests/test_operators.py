@@ -205,8 +205,8 @@ def test_plans(tables):
     assert "TakeOrderedAndProject" in trend and "CartesianProduct" not in trend
     nodes = plan_of(health.node_health(tables.registry, tables.nodes))
     assert "CartesianProduct" not in nodes and "BroadcastNestedLoopJoin" not in nodes
-    cap = plan_of(lifecycle.replay_plan(tables.registry, ["observed_job_id"]))
-    assert "WindowGroupLimit" in cap
+    replay = plan_of(lifecycle.replay_plan(tables.registry, ["observed_job_id"]))
+    assert "SinglePartition" not in replay and "replay_block" in replay
     scan = plan_of(tables.base("events").filter("event_type = 'error'").select(
         json_depth(F.col("props"))))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in scan
