@@ -33,6 +33,8 @@ INFO = 4
 BLOCK = 2_000_000
 CHUNK = 2 << 20
 _GROWTH = 1.4
+#: Part sizes told apart when small parts are left out.
+_LARGE = 12
 
 
 def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +89,9 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> Iterato
     A pair is compared in the class of its larger set, so a set takes part in its own class and in
     those of the larger sets it may be like. In a class of sets up to r elements, a pair differs in
     at most k = 2r(100-p)/(100+p) elements, and the sets are dealt into m > k parts, so at least m-k
-    parts agree. Empty parts say little: as a pair cannot agree in more empty parts than a set has,
-    they count only for sets with m-k or more of them. Classes with k = 0 hold equal sets only.
+    parts agree. Small parts say little, and each set leaves out its smallest: those below the largest
+    size that at most m-k-1 of its parts are below. The largest part in which a pair agrees is never
+    left out, as all m-k agreeing parts would be. Classes with k = 0 hold equal sets only.
     """
     sizes = np.diff(offsets)
     if not len(values):
@@ -101,7 +104,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> Iterato
         level = lowest + step
         differ = 2 * bounds[np.minimum(level, len(bounds) - 1)] * (100 - percent) // (100 + percent)
         active = (level <= highest) & (sizes > 0) & (differ > 0)
-        spare = np.maximum(1, differ // 10)
+        spare = np.maximum(2, 3 * differ // 8)
         parts = np.where(active, differ + 1 + spare, 0)
         base = np.concatenate([[0], np.cumsum(parts)])
         chosen = active[owner]
@@ -109,11 +112,14 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> Iterato
         slot = base[o] + ((x >> np.uint64(9)) % parts[o].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(base[-1], np.uint64)
         np.add.at(sums, slot, mix64(x))
-        filled = np.bincount(slot, minlength=base[-1]) > 0
+        filled = np.bincount(slot, minlength=base[-1])
         row = np.repeat(np.arange(len(sizes)), parts)
-        empty = parts - np.bincount(row[filled], minlength=len(sizes))
+        # parts below 1, 2, ... elements of each set
+        below = np.bincount(row * _LARGE + np.minimum(filled, _LARGE - 1), minlength=len(sizes) * _LARGE)
+        below = np.cumsum(below.reshape(-1, _LARGE), axis=1)[:, :-1]
+        least = (below <= spare[:, None]).sum(1)
         place = np.arange(base[-1]) - base[row]
-        keep = filled | (empty >= 1 + spare)[row]
+        keep = filled >= least[row]
         name = (level[row].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)
         yield mix64(sums + mix64(name))[keep], row[keep]
 
