@@ -273,7 +273,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, block: int = BLOCK) ->
     sizes = sizes.filter("sets > 1").select(
         "grp", F.ceil(F.col("elements") / block).cast("int").alias("blocks"))
     wanted = stage(members.join(sizes, "grp").select("doc", "grp", "d1", "d2", "blocks"), "members")
-    sets = known.join(wanted, F.col("doc_id") == F.col("doc")).select(
+    # the same join at every size: the wanted documents are many on a large corpus
+    sets = known.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select(
         "grp", "doc", "blocks", "text", "d1", "d2").mapInArrow(
         _sets(n), "grp long, doc long, blocks int, items array<long>")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
