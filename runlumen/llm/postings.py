@@ -54,7 +54,7 @@ def met(keys: np.ndarray, docs: np.ndarray, want: int) -> tuple[Rows, np.ndarray
 
 def _pack(buckets: np.ndarray, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
     """One row per bucket with its entries as arrays."""
-    order = np.argsort(buckets, kind="stable")
+    order = np.lexsort((columns[0], buckets))  # by document, which packs well
     buckets = buckets[order]
     starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else np.zeros(0, int)
     offsets = pa.array(np.append(starts, len(buckets)), pa.int32())

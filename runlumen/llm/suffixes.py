@@ -8,7 +8,9 @@ windows are put in suffix order by prefix doubling, documents in order among equ
 longest-previous-factor of a window reaches ``length`` if its previous smaller position in suffix
 order, the nearest entry of a smaller document, has so long a prefix in common with it.
 
-Equal stretches of several documents are collapsed before they travel and again where they meet.
+Equal stretches of several documents are collapsed before they travel and again where they meet: later
+ones follow the fate of the first. They are told apart by a 64-bit hash, as are k-mers. Equal whole texts
+are collapsed likewise: only the first is cut into stretches, and of later ones every byte is matched.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from runlumen.llm.common import partitions, pieces
 from runlumen.llm.postings import KEY, meetings
 from runlumen.llm.vectors import prefix_hash, span_hash, text_bytes
 
-#: Bytes of a k-mer, of text in work at once, and of stretches sorted at once.
-KMER, CHUNK, SORTED = 16, 2 << 20, 1 << 20
-_STRETCH = "kind int, key long, doc long, row long, starts array<int>, ends array<int>, text binary"
-STRETCH, COVER = 1, 2
+#: Bytes of a k-mer and of text in work at once.
+KMER, CHUNK = 20, 4 << 20
+#: Buckets of stretches for each partition, which bound what is sorted at once.
+BUCKETS = 8
+#: Packed stretches: of each its document, the row, its place, its length; all their bytes
+#: in one, compressed.
+_STRETCH = "bucket int, docs array<long>, rows array<long>, at array<int>, sizes array<int>, text binary"
+_COVER = "doc long, row long, starts array<int>, ends array<int>"
 
 
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
@@ -44,18 +50,24 @@ def window_keys(data: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(low[:-rest], low[rest:]) if rest and len(low) > rest else low[:0] if rest else low
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(key, row, first, last) of the runs of windows with one key, none across rows."""
+    keys = window_keys(data, length)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(keys)]
+    at = np.flatnonzero(np.arange(len(keys)) + length <= offsets[row + 1])
+    keys, row = keys[at], row[at]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(keys)) - 1
+    return keys[first], row[first], at[first], at[last]
+
+
 def _extract(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in pieces(batches, "text", CHUNK):
-            data, offsets = text_bytes(batch["text"])
-            docs = np.asarray(batch["doc_id"])
-            keys = window_keys(data, length)
-            row = np.searchsorted(offsets, np.arange(len(keys)), "right") - 1
-            inside = np.arange(len(keys)) + length <= offsets[row + 1]
-            keys, row = keys[inside], row[inside]
-            fresh = np.ones(len(keys), bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-            yield keys[fresh], docs[row[fresh]], None
+            keys, row, _, _ = _runs(*text_bytes(batch["text"]), length)
+            yield keys, np.asarray(batch["doc_id"])[row], None
     return run
 
 
@@ -70,53 +82,84 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[first], reach[last]
 
 
-def _stretches(length: int):
-    """Stretches of marked windows of each text; copies inside a chunk are settled here."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", CHUNK):
-            # (key, bytes) -> smallest doc and where each doc has them
-            seen: dict[tuple[int, bytes], dict[tuple[int, int], list[int]]] = {}
-            texts, docs = batch["text"].fill_null(""), batch["doc_id"].to_pylist()
-            rows = batch["row"].to_pylist()
-            marked = batch["keys"]
-            for i, doc in enumerate(docs):
-                data, _ = text_bytes(texts.slice(i, 1))
-                keys = window_keys(data, length)
-                if not len(keys):
-                    continue
-                wanted = np.sort(np.array(marked[i].values, np.int64).view(np.uint64))
-                spot = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                hit = wanted[spot] == keys
-                edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                last = np.append(edge[1:], len(keys))
-                good = hit[edge]
-                raw = data.tobytes()
-                for a, b, key in zip(edge[good].tolist(), last[good].tolist(),
-                                     keys[edge[good]].view(np.int64).tolist(), strict=True):
-                    uses = seen.setdefault((key, raw[a:b - 1 + length]), {})
-                    uses.setdefault((doc, rows[i]), []).append(a)
-            out: list[tuple] = []
-            covers: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for (key, text), uses in seen.items():
-                least = min(uses)[0]
-                for (doc, row), at in uses.items():
-                    if doc == least:
-                        out.append((STRETCH, key, doc, row, at, [], text))
-                    else:
-                        covers.setdefault((doc, row), []).extend((a, a + len(text)) for a in at)
-            for (doc, row), spans in covers.items():
-                a, b = merge(*np.array(spans, np.int32).T)
-                out.append((COVER, doc, doc, row, a, b, b""))
-            yield _batch(out)
-    return run
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each span, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+def _cover_rows(doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """Spans merged per (doc, row), as lists."""
+    order = np.lexsort((row, doc))
+    doc, row, starts, ends = doc[order], row[order], starts[order], ends[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) if len(doc) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    stride = int(ends.max()) + 2 if len(ends) else 1
+    a, b = merge(starts + group * stride, ends + group * stride)
+    base = a // stride
+    bounds = pa.array(np.searchsorted(base, np.arange(new.sum() + 1)), pa.int32())
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)],
-        ["kind", "key", "doc", "row", "starts", "ends", "text"])
+        [pa.array(doc[new]), pa.array(row[new]),
+         pa.ListArray.from_arrays(bounds, pa.array(a - base * stride, pa.int32())),
+         pa.ListArray.from_arrays(bounds, pa.array(b - base * stride, pa.int32()))],
+        ["doc", "row", "starts", "ends"])
+
+
+def _first_of(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (name, doc), start of each name, and for each entry in order the start of its name."""
+    order = np.lexsort((docs, names))
+    names = names[order]
+    starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
+    return order, starts, np.repeat(starts, np.diff(np.append(starts, len(names))))
+
+
+def _stretches(length: int, spread: int):
+    """Stretches of marked windows by bucket; what copies in a chunk cover comes as sizes 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", CHUNK):
+            data, offsets = text_bytes(batch["text"])
+            docs, rows = np.asarray(batch["doc_id"]), np.asarray(batch["row"])
+            # a marked key is marked for every document
+            marked = np.unique(np.array(batch["keys"].flatten(), np.int64).view(np.uint64))
+            keys, row, first, last = _runs(data, offsets, length)
+            if not len(marked) or not len(keys):
+                continue
+            hit = marked[np.minimum(np.searchsorted(marked, keys), len(marked) - 1)] == keys
+            keys, row, first, end = keys[hit], row[hit], first[hit], last[hit] + length
+            doc = docs[row]
+            order, _, lead = _first_of(span_hash(prefix_hash(data), first, end), doc)
+            copy = np.empty(len(order), bool)
+            copy[order] = doc[order] > doc[order][lead]
+            own = np.flatnonzero(~copy)
+            bucket = (keys[own] % np.uint64(spread)).astype(np.int64)
+            own = own[np.argsort(bucket, kind="stable")]
+            bucket = np.sort(bucket)
+            sizes = (end - first)[own]
+            text = data[_spread(first[own], sizes)].tobytes()
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(own) else np.zeros(0, np.int64)
+            bounds = np.append(cut, len(own))
+            reach = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(c, t)) for c, t in (
+                (doc[own], pa.int64()), (rows[row[own]], pa.int64()),
+                ((first - offsets[row])[own], pa.int32()), (sizes, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cut], pa.int32()), *lists,
+                 pa.array([pa.compress(text[x:y], "zstd", asbytes=True) for x, y in zip(
+                     reach, reach[1:], strict=False)], pa.binary())],
+                ["bucket", "docs", "rows", "at", "sizes", "text"])
+            if copy.any():
+                found = _cover_rows(doc[copy], rows[row[copy]], (first - offsets[row])[copy], (end - offsets[row])[copy])
+                n = np.asarray(pa.compute.list_value_length(found["starts"]))
+                starts, ends = (np.array(found[c].flatten(), np.int64) for c in ("starts", "ends"))
+                # negative sizes: spans that are covered already
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.asarray(found["doc"]) % spread, pa.int32()),
+                     *[pa.ListArray.from_arrays(found["starts"].offsets, pa.array(c, t)) for c, t in (
+                         (np.repeat(np.asarray(found["doc"]), n), pa.int64()),
+                         (np.repeat(np.asarray(found["row"]), n), pa.int64()),
+                         (starts, pa.int32()), (starts - ends, pa.int32()))],
+                     pa.array([b""] * len(found), pa.binary())],
+                    ["bucket", "docs", "rows", "at", "sizes", "text"])
+    return run
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
@@ -129,97 +172,110 @@ def _ranks(values: np.ndarray) -> np.ndarray:
     return result
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the first ``length`` bytes at each place in suffix order (prefix doubling)."""
-    padded = np.append(data, np.zeros(length + 8, np.uint8))
-    word = np.zeros(len(data) + length, np.uint64)
+def suffix_ranks(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Ranks in suffix order of the first ``length`` bytes at each place where they fit into their text.
+
+    Texts of ``sizes`` bytes lie end to end in ``data``. Prefix doubling: ranks of 8 bytes give those of
+    16, of 32 and so on, each computed only where so many bytes fit. Other places have no rank (0).
+    """
+    begin = np.cumsum(sizes) - sizes
+    padded = np.append(data, np.zeros(8, np.uint8))
+    word = np.zeros(len(data), np.uint64)
     span = min(8, length)
     for j in range(span):
         word = (word << np.uint64(8)) | padded[j:j + len(word)]
-    rank = _ranks(word)
+    at = _spread(begin, sizes - span + 1)
+    rank = np.zeros(len(data), np.uint64)
+    rank[at] = _ranks(word[at])
     while span < length:
         step = min(span, length - span)
-        ahead = np.append(rank[step:], np.zeros(step, np.uint64))
-        rank = _ranks((rank << np.uint64(32)) | ahead)
         span += step
-    return rank[:len(data)]
+        at = _spread(begin, sizes - span + 1)
+        longer = _ranks((rank[at] << np.uint64(32)) | rank[at + step])
+        rank = np.zeros(len(data), np.uint64)
+        rank[at] = longer
+    return rank
 
 
-def earlier(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, which of its windows also start in a text of a smaller document."""
-    sizes = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[owner]
-    rank, doc = suffix_ranks(data, length)[at], docs[owner]
+def earlier(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of texts, laid end to end in ``data``, that also start in a text of a smaller document.
+
+    Returns (text, place in it) of each such window, in order.
+    """
+    begin, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    at = _spread(begin, counts)
+    rank, doc = suffix_ranks(data, sizes, length)[at], docs[owner]
     order = np.lexsort((doc, rank))
     rank, ordered = rank[order], doc[order]
     run = np.maximum.accumulate(np.where(np.append(True, rank[1:] != rank[:-1]), np.arange(len(rank)), 0))
     found = np.empty(len(rank), bool)
     found[order] = ordered > ordered[run]  # the previous smaller position shares the prefix
-    return np.split(found, np.cumsum(counts)[:-1])
+    return owner[found], (at - begin[owner])[found]
 
 
 def _settle(length: int):
     """Covered spans of the stretches of a task, by document."""
-    def close(rows: list[tuple], covers: dict) -> None:
-        by_text: dict[tuple[int, bytes], list[tuple]] = {}
-        for key, doc, row, at, text in rows:
-            by_text.setdefault((key, text), []).append((doc, row, at))
-        texts, docs = [t for _, t in by_text], np.array([min(u)[0] for u in by_text.values()])
-        for text, uses, least, windows in zip(
-                texts, by_text.values(), docs.tolist(), earlier(texts, docs, length), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], windows.view(np.int8), [0]])))
-            spans = [(a, b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            for doc, row, at in uses:
-                mine = spans if doc == least else [(0, len(text))]
-                if mine:
-                    covers.setdefault((doc, row), []).extend((p + a, p + b) for p in at for a, b in mine)
+    def close(docs: np.ndarray, rows: np.ndarray, at: np.ndarray, sizes: np.ndarray, data: np.ndarray):
+        begin = np.cumsum(sizes) - sizes
+        names = span_hash(prefix_hash(data), begin, begin + sizes)
+        order, starts, lead = _first_of(names, docs)
+        docs, rows, at, sizes, begin = docs[order], rows[order], at[order], sizes[order], begin[order]
+        later = docs > docs[lead]
+        yield docs[later], rows[later], at[later], (at + sizes)[later]
+        # windows of distinct stretches, those of a key together
+        head = starts[np.argsort(window_keys(data, length)[begin[starts]], kind="stable")]
+        own, least = sizes[head], docs[head]
+        text = data[_spread(begin[head], own)]
+        who, place = earlier(text, own, least, length)
+        new = np.append(True, (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1)) if len(who) else np.zeros(0, bool)
+        last = np.append(np.flatnonzero(new)[1:], len(who)) - 1
+        who, a, b = head[who[new]], place[new], place[last] + length if len(who) else place
+        # each entry of the first document with that stretch
+        size = np.diff(np.append(starts, len(docs)))
+        size_of = np.zeros(len(docs), np.int64)
+        size_of[starts] = size
+        use = _spread(who, size_of[who])
+        a, b = np.repeat(a, size_of[who]), np.repeat(b, size_of[who])
+        same = ~later[use]
+        use, a, b = use[same], a[same], b[same]
+        yield docs[use], rows[use], at[use] + a, at[use] + b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        covers: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        rows, size, now = [], 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = []
-            for (doc, row), spans in covers.items():
-                a, b = merge(*np.array(spans, np.int32).T)
-                out.append((COVER, doc, doc, row, a, b, b""))
-            covers.clear()
-            if out:
-                yield _batch(out).select(["doc", "row", "starts", "ends"])
-
+        parts: dict[int, list[list[np.ndarray]]] = {}
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            own = np.asarray(batch["kind"]) == COVER
-            if own.any():
-                yield batch.filter(pa.array(own)).select(["doc", "row", "starts", "ends"])
-            part = batch.filter(pa.array(~own))
-            for item in zip(*[part[c].to_pylist() for c in ("key", "doc", "row", "starts", "text")], strict=True):
-                if item[0] != now and size >= SORTED:
-                    close(rows, covers)
-                    rows, size = [], 0
-                    if len(covers) > 20_000:
-                        yield from flush()
-                now = item[0]
-                rows.append(item)
-                size += len(item[4])
-        if rows:
-            close(rows, covers)
-        yield from flush()
+            for i, bucket in enumerate(batch["bucket"].to_pylist()):
+                docs, rows, at, sizes = (
+                    np.array(batch[c][i].values, np.int64) for c in ("docs", "rows", "at", "sizes"))
+                if len(sizes) and sizes[0] < 0:
+                    for column, values in zip(out, (docs, rows, at, at - sizes), strict=True):
+                        column.append(values)
+                else:
+                    data = np.frombuffer(pa.decompress(
+                        batch["text"][i].as_py(), int(sizes.sum()), "zstd", asbytes=True), np.uint8)
+                    parts.setdefault(bucket, []).append([docs, rows, at, sizes, data])
+        for bucket in list(parts):
+            own = [np.concatenate(c) for c in zip(*parts.pop(bucket), strict=True)]
+            for found in close(*own):
+                for column, values in zip(out, found, strict=True):
+                    column.append(values)
+        if out[0]:
+            yield _cover_rows(*[np.concatenate(c) for c in out])
     return run
 
 
-def _cut():
+def _cut(length: int):
     """What is left of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", CHUNK):
             sizes, removed, spans, digest = [], [], [], []
             texts = batch["text"].fill_null("").cast(pa.binary()).to_pylist()
             rows, covers = batch["row"].to_pylist(), batch["covers"].to_pylist()
-            for text, row, found in zip(texts, rows, covers, strict=True):
+            for text, row, found, copy in zip(texts, rows, covers, batch["copy"].to_pylist(), strict=True):
                 mine = [c for c in found or [] if c["row"] == row]
+                if copy and len(text) >= length:
+                    mine = [{"starts": [0], "ends": [len(text)]}]
                 a, b = merge(np.array([x for c in mine for x in c["starts"]], np.int64),
                              np.array([x for c in mine for x in c["ends"]], np.int64))
                 kept, at = hashlib.sha256(), 0
@@ -252,15 +308,24 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.filter(F.col("doc_id").isNotNull())
     marked = meetings(known, _extract(length), KEY).groupBy("doc").agg(F.collect_list("x").alias("keys"))
+    # ids of texts that a smaller id has too, with those texts' hashes
+    text_hash = F.xxhash64("text")
+    same = known.groupBy(text_hash.alias("row"), F.md5(F.col("text").cast("binary")).alias("sum"))
+    several = same.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copies = known.select("doc_id", text_hash.alias("row"), F.md5(F.col("text").cast("binary")).alias("sum")).join(
+        several.hint("merge"), ["row", "sum"]).filter("doc_id > first").groupBy(
+        F.col("doc_id").alias("copy_of")).agg(F.collect_set("row").alias("copied"))
     dealt = known.repartition(n, "doc_id")
-    row = F.xxhash64("text").alias("row")
-    stretches = dealt.join(marked, F.col("doc_id") == F.col("doc")).select(
-        "doc_id", "text", row, "keys").mapInArrow(_stretches(length), _STRETCH)
-    settled = stretches.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
-        _settle(length), "doc long, row long, starts array<int>, ends array<int>")
+    row = text_hash.alias("row")
+    copy = F.coalesce(F.array_contains("copied", text_hash), F.lit(False)).alias("copy")
+    flagged = dealt.join(copies.hint("merge"), F.col("doc_id") == F.col("copy_of"), "left")
+    stretches = flagged.filter(~copy).join(marked.hint("merge"), F.col("doc_id") == F.col("doc")).select(
+        "doc_id", "text", row, "keys").mapInArrow(_stretches(length, BUCKETS * n), _STRETCH)
+    settled = stretches.repartition(n, "bucket").mapInArrow(_settle(length), _COVER)
     covers = settled.groupBy("doc").agg(F.collect_list(F.struct("row", "starts", "ends")).alias("covers"))
-    joined = dealt.join(covers, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", row, "covers")
+    joined = flagged.join(covers.hint("merge"), F.col("doc_id") == F.col("doc"), "left").select(
+        "doc_id", "text", row, copy, "covers")
     none = F.lit(None).cast(covers.schema["covers"].dataType).alias("covers")
-    nameless = texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", row, none)
+    nameless = texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", row, F.lit(False).alias("copy"), none)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInArrow(_cut(), schema).union(nameless.mapInArrow(_cut(), schema))
+    return joined.mapInArrow(_cut(length), schema).union(nameless.mapInArrow(_cut(length), schema))
