@@ -46,18 +46,24 @@ _BODY = _json({
                                             "archive_sha256", "manifest_sha256",
                                             "run_results_sha256")},
                       "dbt_include_deps": _n("dbt_include_deps")}),
+    "logs": _json({c: (_s if c.endswith(("state", "sha256")) else _n)(c) for c in publish.LOG_FACTS}),
     "outer": _json({"lakeflow_result_state": _s("lakeflow_result_state"),
+                    "task_start_time": _n("epoch_us(task_start_time)"),
+                    "task_end_time": _n("epoch_us(task_end_time)"),
                     "attempt_number": _n("attempt_number"), "logs_truncated": _n("logs_truncated")}),
-    "invocation_id": _s("invocation_id"),
-    "nodes": _s("CASE WHEN invocation_id IS NOT NULL THEN nodes_sha256 END"),
+    "invocation": _json({"invocation_id": _s("r.invocation_id"), "result_count": _n("result_count"),
+                         "elapsed_time": _s("CAST(CAST(elapsed_time AS DECIMAL(18,6)) AS STRING)"),
+                         "status_counts_json": _s("replace(status_counts_json, '\"', '\\\"')")}),
+    "nodes": _s("CASE WHEN r.invocation_id IS NOT NULL THEN nodes_sha256 END"),
 })
 
 
-@query("fn_record_digest", ["registry", "nodes"], f"""WITH {_NODES}
+@query("fn_record_digest", ["registry", "invocations", "nodes"], f"""WITH {_NODES}
 SELECT r.workspace_id, r.dbt_task_run_id, sha256({_BODY}) AS record_digest
-FROM registry r LEFT JOIN folded USING (workspace_id, dbt_task_run_id)""")
+FROM registry r LEFT JOIN folded USING (workspace_id, dbt_task_run_id)
+LEFT JOIN invocations i USING (workspace_id, dbt_task_run_id, normalized_digest)""")
 def _(t):
-    return publish.record_digests(t.registry, t.nodes)
+    return publish.record_digests(t.registry, t.invocations, t.nodes)
 
 
 _JOINED = """FROM root_source s LEFT JOIN root_target t ON t.workspace_id = s.workspace_id
