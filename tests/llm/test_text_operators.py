@@ -129,6 +129,22 @@ def test_line_dedup(spark, run):
     assert got == plain_lines(rows, run)
 
 
+def test_line_dedup_of_long_lines(spark):
+    long, other = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    split = [" ".join(f"c{i}" for i in range(n, n + 25)) for n in (0, 25)]
+    rows = [(1, f"one\n{long}\ntwo"), (2, f"three\n{long}\nfour"), (3, long), (4, other), (5, other),
+            (6, "short"), (7, "short"), (8, "x\nshort"), (9, long.rsplit(" ", 1)[0]), (10, long.rsplit(" ", 1)[0]),
+            (11, "\n".join(["m", *split, "n"])), (12, "\n".join(["o", *split, "p"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for run, both in ((2, 2), (3, 2), (1, 2)):
+        got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(docs, run).collect()}
+        want = {1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0, 10: 0, 11: 0, 12: both}
+        if run == 1:
+            want |= {7: 1, 8: 1, 10: 1}
+        assert got == want
+    assert all(r["n_removed"] == 0 for r in lines.deduplicate(docs, 3, words=None).collect())
+
+
 def test_line_dedup_odd_rows(odd, empty):
     rows = lines.deduplicate(odd).collect()
     assert len(rows) == 8 and all(r["n_removed"] == 0 for r in rows)
