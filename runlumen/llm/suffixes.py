@@ -11,6 +11,10 @@ order, the nearest entry of a smaller document, has so long a prefix in common w
 Equal stretches of several documents are collapsed before they travel and again where they meet: later
 ones follow the fate of the first. They are told apart by a 64-bit hash, as are k-mers. Equal whole texts
 are collapsed likewise: only the first is cut into stretches, and of later ones every byte is matched.
+
+A k-mer that very many documents hold would bring all its stretches to one task. Windows of such hot
+k-mers do not travel as stretches but one by one, by a 64-bit hash of the whole window: a task settles
+its own and sends on only those of its smallest document, and the smallest document of all is joined.
 """
 
 from __future__ import annotations
@@ -26,11 +30,15 @@ from pyspark.sql import functions as F
 from runlumen.llm.common import partitions, pieces
 from runlumen.llm.postings import KEY, meetings
 from runlumen.llm.vectors import prefix_hash, span_hash, text_bytes
+from runlumen.session import stage
 
 #: Bytes of a k-mer and of text in work at once.
 KMER, CHUNK = 20, 4 << 20
 #: Buckets of stretches for each partition, which bound what is sorted at once.
 BUCKETS = 8
+#: Documents from which on a k-mer is hot, entries of a key in a task that are worth a report, and keys,
+#: windows or spans that a task gathers.
+HOT, REPORTED, GATHERED = 20_000, 16, 3_000_000
 #: Packed stretches: of each its document, the row, its place, its length; all their bytes
 #: in one, compressed.
 _STRETCH = "bucket int, docs array<long>, rows array<long>, at array<int>, sizes array<int>, text binary"
@@ -71,6 +79,86 @@ def _extract(length: int):
     return run
 
 
+def hot_keys(known: DataFrame, length: int, hot: int, reported: int) -> np.ndarray:
+    """Keys of about ``hot`` documents or more, sorted.
+
+    Tasks report a key when ``reported`` of the documents they gather hold it; a key that stays below
+    that in every task is taken as not hot. Only the way of the work depends on this, no result.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(gathered), return_counts=True)
+            often = n >= reported
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys[often].view(np.int64)), pa.array(n[often], pa.int64())], ["key", "n"])
+
+        gathered, size = [], 0
+        for keys, docs, _ in _extract(length)(batches):
+            order = np.lexsort((docs, keys))
+            keys, docs = keys[order], docs[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+            gathered.append(keys[fresh])
+            size += len(gathered[-1])
+            if size >= GATHERED:
+                yield flush()
+                gathered, size = [], 0
+        if size:
+            yield flush()
+
+    often = known.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = often.filter(F.col("n") >= hot).toArrow()["key"]  # at most one for every ``hot`` entries
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def _hot_windows(length: int, hot: np.ndarray):
+    """Windows of hot keys: those of the smallest document of a task, and as settled all later ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, docs, rows, at = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            order, _, lead = _first_of(names, docs)
+            names, docs, rows, at = names[order], docs[order], rows[order], at[order]
+            settled = docs > docs[lead]
+            for start in range(0, len(names), 50_000):
+                part = slice(start, start + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[part].view(np.int64)), pa.array(docs[part]), pa.array(rows[part]),
+                     pa.array(at[part], pa.int32()), pa.array(settled[part])],
+                    ["name", "doc", "row", "place", "settled"])
+
+        gathered, size = [], 0
+        for batch in pieces(batches, "text", CHUNK):
+            data, offsets = text_bytes(batch["text"])
+            keys, row, first, last = _runs(data, offsets, length)
+            use = np.isin(keys, hot)
+            if not use.any():
+                continue
+            counts = (last - first + 1)[use]
+            at, row = _spread(first[use], counts), np.repeat(row[use], counts)
+            gathered.append((span_hash(prefix_hash(data), at, at + length), np.asarray(batch["doc_id"])[row],
+                             np.asarray(batch["row"])[row], at - offsets[row]))
+            size += len(at)
+            if size >= GATHERED:
+                yield from flush()
+                gathered, size = [], 0
+        if size:
+            yield from flush()
+    return run
+
+
+def _hot_covers(known: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """Spans that windows of hot keys cover, by document."""
+    found = stage(known.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(
+        _hot_windows(length, hot), "name long, doc long, row long, place int, settled boolean"), "hot-windows")
+    sent = found.filter("not settled")
+    firsts = sent.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).filter(
+        "first < other").drop("other")
+    later = sent.join(firsts.hint("merge"), "name").filter("doc > first")
+    spots = later.select("doc", "row", "place").union(found.filter("settled").select("doc", "row", "place"))
+    return spots.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("starts")).withColumn(
+        "ends", F.transform("starts", lambda x: x + F.lit(length)))
+
+
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of intervals as disjoint intervals that do not touch."""
     if not len(starts):
@@ -112,7 +200,7 @@ def _first_of(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, starts, np.repeat(starts, np.diff(np.append(starts, len(names))))
 
 
-def _stretches(length: int, spread: int):
+def _stretches(length: int, spread: int, hot: np.ndarray):
     """Stretches of marked windows by bucket; what copies in a chunk cover comes as sizes 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", CHUNK):
@@ -120,6 +208,7 @@ def _stretches(length: int, spread: int):
             docs, rows = np.asarray(batch["doc_id"]), np.asarray(batch["row"])
             # a marked key is marked for every document
             marked = np.unique(np.array(batch["keys"].flatten(), np.int64).view(np.uint64))
+            marked = marked[~np.isin(marked, hot)]
             keys, row, first, last = _runs(data, offsets, length)
             if not len(marked) or not len(keys):
                 continue
@@ -242,25 +331,39 @@ def _settle(length: int):
         yield docs[use], rows[use], at[use] + a, at[use] + b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[list[np.ndarray]]] = {}
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
+        gathered, own, current = 0, [], None
+
+        def add(found: tuple) -> None:
+            nonlocal gathered
+            gathered += len(found[0])
+            for column, values in zip(out, found, strict=True):
+                column.append(values)
+
+        def settle() -> None:
+            if own:
+                for found in close(*[np.concatenate(c) for c in zip(*own, strict=True)]):
+                    add(found)
+                own.clear()
+
+        for batch in batches:  # by bucket, so that one is held at a time
             for i, bucket in enumerate(batch["bucket"].to_pylist()):
+                if bucket != current:
+                    settle()
+                    current = bucket
+                    if gathered >= GATHERED:
+                        yield _cover_rows(*[np.concatenate(c) for c in out])
+                        out, gathered = [[], [], [], []], 0
                 docs, rows, at, sizes = (
                     np.array(batch[c][i].values, np.int64) for c in ("docs", "rows", "at", "sizes"))
                 if len(sizes) and sizes[0] < 0:
-                    for column, values in zip(out, (docs, rows, at, at - sizes), strict=True):
-                        column.append(values)
+                    add((docs, rows, at, at - sizes))
                 else:
                     data = np.frombuffer(pa.decompress(
                         batch["text"][i].as_py(), int(sizes.sum()), "zstd", asbytes=True), np.uint8)
-                    parts.setdefault(bucket, []).append([docs, rows, at, sizes, data])
-        for bucket in list(parts):
-            own = [np.concatenate(c) for c in zip(*parts.pop(bucket), strict=True)]
-            for found in close(*own):
-                for column, values in zip(out, found, strict=True):
-                    column.append(values)
-        if out[0]:
+                    own.append([docs, rows, at, sizes, data])
+        settle()
+        if gathered:
             yield _cover_rows(*[np.concatenate(c) for c in out])
     return run
 
@@ -294,19 +397,20 @@ def _cut(length: int):
     return run
 
 
-def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 50, hot: int = HOT, reported: int = REPORTED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
     Removed is each byte covered by a string of ``length`` bytes that also starts in a document with a
     smaller doc_id, judged on the input; n_spans counts maximal removed runs. Null and empty texts have
     0 bytes; texts shorter than ``length`` stay whole. Rows of one doc_id, repeated ones too, are not
     earlier than each other; a row with a null doc_id is earlier than none, later than none, and stays
-    whole.
+    whole. k-mers of ``hot`` documents or more, as tasks report them, are dealt out window by window.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.filter(F.col("doc_id").isNotNull())
+    often = hot_keys(known, length, hot, reported)
     marked = meetings(known, _extract(length), KEY).groupBy("doc").agg(F.collect_list("x").alias("keys"))
     # ids of texts that a smaller id has too, with those texts' hashes
     text_hash = F.xxhash64("text")
@@ -320,8 +424,10 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
     copy = F.coalesce(F.array_contains("copied", text_hash), F.lit(False)).alias("copy")
     flagged = dealt.join(copies.hint("merge"), F.col("doc_id") == F.col("copy_of"), "left")
     stretches = flagged.filter(~copy).join(marked.hint("merge"), F.col("doc_id") == F.col("doc")).select(
-        "doc_id", "text", row, "keys").mapInArrow(_stretches(length, BUCKETS * n), _STRETCH)
-    settled = stretches.repartition(n, "bucket").mapInArrow(_settle(length), _COVER)
+        "doc_id", "text", row, "keys").mapInArrow(_stretches(length, BUCKETS * n, often), _STRETCH)
+    settled = stretches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length), _COVER)
+    if len(often):
+        settled = settled.union(_hot_covers(known, length, often))
     covers = settled.groupBy("doc").agg(F.collect_list(F.struct("row", "starts", "ends")).alias("covers"))
     joined = flagged.join(covers.hint("merge"), F.col("doc_id") == F.col("doc"), "left").select(
         "doc_id", "text", row, copy, "covers")

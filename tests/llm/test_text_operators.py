@@ -83,6 +83,21 @@ def test_suffix_dedup(corpus, corpus_rows, length):
     assert sum(r[2] for r in got) > 0
 
 
+def test_suffix_dedup_of_hot_keys(spark, corpus, corpus_rows):
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rng = random.Random(9)
+    line = "a line of forty-four bytes that many have..."
+    rows = [(i, f"{rng.random()} {line} {rng.choice('abc')} {rng.random()}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = suffixes.hot_keys(docs, 50, 200, 1)
+    assert len(keys)
+    want = brute.suffix_dedup(rows, 50)
+    assert tuples(suffixes.deduplicate(docs, 50, hot=200, reported=1), *names) == want
+    assert tuples(suffixes.deduplicate(docs, 50), *names) == want
+    assert tuples(suffixes.deduplicate(corpus, 50, hot=2, reported=1), *names) == brute.suffix_dedup(
+        pairs(corpus_rows), 50)
+
+
 def test_suffix_ranks_follow_suffix_order():
     import numpy as np
 
