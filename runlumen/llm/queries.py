@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlumen.llm import decontaminate, jaccard, lines, lm, mixing, quality, search, sharding, suffixes, tokens
+from runlumen.llm import (
+    conversations, decontaminate, jaccard, lines, lm, mixing, quality, search, sharding, suffixes, tokens, whitening,
+)
 from runlumen.llm.common import fold_of, n_bytes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +123,17 @@ def op7_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each document whose id is divisible by 50."""
     docs = table(spark, sf_dir, "documents")
     return search.top_k(docs, docs.filter(F.col("doc_id") % 50 == 0), k=10)
+
+
+@query
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after planned damage: faults, cheapest repair, digest of the repaired rows."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
+@query
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on four whitened components of their distinct integer vectors."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
