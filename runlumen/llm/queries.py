@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlumen.llm import (
-    conversations, decontaminate, jaccard, lines, lm, mixing, quality, search, sharding, suffixes, tokens, whitening,
+    conversations, decontaminate, jaccard, lines, lm, mixing, pages, quality, search, sharding, suffixes, tokens,
+    whitening,
 )
 from runlumen.llm.common import fold_of, n_bytes, table
 
@@ -137,3 +138,11 @@ def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings projected on four whitened components of their distinct integer vectors."""
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op12_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of all pages, by a labeller fitted on a bounded sample of them."""
+    found = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.extract(found, pages.train(found)).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
