@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -17,6 +19,26 @@ SETTINGS = {
 }
 
 
+#: Stateful streams keep their keys in RocksDB, which timers need and which is not held in heap.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for what starts inside the block; the session's own come back after it."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; sizes of shuffles stay with the cluster and AQE."""
     for key, value in SETTINGS.items():
@@ -25,13 +47,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, a session on local cores (tests) gets one of its own; on a cluster a folder
+    that executors do not share would lose rows, so that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    fallback = tempfile.mkdtemp(prefix="runlumen-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="runlumen-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def scratch(spark: SparkSession, label: str) -> str:

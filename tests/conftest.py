@@ -11,6 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    from runlumen.session import configure
+
     base = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").appName("runlumen-tests")
@@ -21,5 +23,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    configure(session)
     yield session
     session.stop()

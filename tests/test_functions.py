@@ -5,6 +5,7 @@ import uuid
 from datetime import datetime
 from pathlib import PurePosixPath
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -160,3 +161,28 @@ def test_folded_sql(spark):
     texts = ["SELECT  A\n FROM t WHERE x = 'Keep  CASE' ;", "select a from T where X = 'Keep  CASE'"]
     got = evaluate(spark, texts, folded_sql(F.col("x")))
     assert got[0].strip() == got[1] == "select a from t where x = 'Keep  CASE'"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from runlumen.session import checkpoint_dir, settings
+
+    class Conf(dict):
+        def unset(self, key):
+            self.pop(key)
+
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
+
+    assert checkpoint_dir(Session(spark_checkpoint_dir="hdfs://x/y", spark_master="yarn")) == "hdfs://x/y"
+    for master in ("yarn", "k8s://h", "spark://h:7077", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError):
+            checkpoint_dir(Session(spark_master=master))
+    one = Session(spark_master="local[4]")
+    assert checkpoint_dir(one) == checkpoint_dir(one)
+    with settings(one, {"spark.master": "x", "new": "y"}):
+        assert one.conf["spark.master"] == "x" and one.conf["new"] == "y"
+    assert one.conf["spark.master"] == "local[4]" and "new" not in one.conf

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from runlumen.operators import lifecycle, publish
 from runlumen.plans import load_all
 from runlumen.plans.book import Tables
-from runlumen.plans.streams import dedup_stream, lifecycle_stream
+from runlumen.plans.streams import dedup_stream, feed, lifecycle_stream
 from runlumen.sources import artifacts
+from runlumen.streaming import dedup
+from runlumen.streaming.lifecycle import UPDATES, drain_lifecycle
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,19 +24,74 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
-@pytest.mark.parametrize("per_batch", [1, 100])
-def test_no_first_arrival_is_lost(spark, tables, per_batch):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_no_first_arrival_is_lost_and_no_repeat_stays(spark, tables, parts):
     events = tables.base("events")
-    found = dedup_stream(spark, events, files=5, files_per_batch=per_batch)
-    assert found.count() == found.select("event_id").distinct().count() == events.count()
+    found, runs, both = dedup_stream(spark, events, parts)
+    assert rows(found) == rows(events.select("event_id", "ts", "user_id", "event_type"))
+    late = both.filter("late").count()
+    assert 0 < late < 0.05 * events.count()
+    # a repeat past midnight is dropped though its day is another one
+    given = feed(events.select("event_id", "ts", "user_id", "event_type"))
+    assert given.filter("to_date(sent) > to_date(ts)").count() > 0
+    # after each run the state holds about two days of arrivals, however many days the feed has had
+    days = events.select(F.to_date("ts")).distinct().count()
+    assert days > 10 and len(runs) == parts
+    assert all(r.state_rows[-1] < 3 * events.count() / days for r in runs)
+
+
+def test_arrivals_out_of_order_are_an_error(spark, tmp_path):
+    columns = "event_id long, sent timestamp, arrived timestamp"
+    first = spark.createDataFrame([(1, None, None)], columns).select(
+        "event_id", F.lit("2024-01-09 00:00:00").cast("timestamp").alias("sent"),
+        F.lit("2024-01-09 00:00:00").cast("timestamp").alias("arrived"))
+    for number, back in enumerate((0, 5)):
+        moved = first.select(F.lit(number).cast("long").alias("event_id"), *(
+            (F.col(c) - F.expr(f"INTERVAL {back} DAYS")).alias(c) for c in ("sent", "arrived")))
+        moved.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = dedup.event_stream(spark, f"{tmp_path}/in", first.schema)
+        places = (f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        if number:
+            with pytest.raises(ValueError, match="out of order"):
+                dedup.drain_first(stream, ["event_id"], "sent", "arrived", *places)
+        else:
+            dedup.drain_first(stream, ["event_id"], "sent", "arrived", *places)
 
 
-def test_lifecycle_does_not_depend_on_batches(spark, tables):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_lifecycle_does_not_depend_on_batches(spark, tables, parts):
     events = tables.lifecycle_events
     clock = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     expected = rows(lifecycle.fold(events, clock).select("attempt", "state", "attempts", "last_attempted_at"))
-    assert rows(lifecycle_stream(spark, events, files=4, files_per_batch=1)) == expected
-    assert rows(lifecycle_stream(spark, events, files=4, files_per_batch=100)) == expected
+    found, changes = lifecycle_stream(spark, events, parts)
+    assert rows(found) == expected
+    assert changes.agg(F.sum("late")).first()[0] == 0
+
+
+def test_lease_ends_without_a_later_event(spark, tmp_path):
+    """Events of other attempts move the clock; the claim of attempt 1 is shown as failed in time."""
+    parts = [
+        [(1, 1, "00:00", "discover"), (1, 2, "00:01", "claim"), (2, 3, "00:02", "discover")],
+        [(2, 4, "00:25", "claim")], [(2, 5, "00:30", "tick")],
+        # a collector that goes on after its lease still publishes; an event behind the clock is late
+        [(1, 6, "00:40", "publish"), (2, 7, "00:03", "fail"), (2, 8, "00:41", "publish")],
+        [(3, 9, "02:00", "discover")],
+    ]
+    shown = []
+    schema = "attempt long, event_id long, at string, action string"
+    for part in parts:
+        df = spark.createDataFrame(part, schema).select("attempt", "event_id", F.concat(
+            F.lit("2024-01-01 "), "at", F.lit(":00")).cast("timestamp").alias("ts"), "action").coalesce(1)
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = dedup.event_stream(spark, f"{tmp_path}/in", df.schema)
+        drain_lifecycle(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", "1 minute")
+        changes = spark.read.schema(UPDATES).parquet(f"{tmp_path}/out")
+        newest = changes.groupBy("attempt").agg(F.max_by("state", "step").alias("state")).collect()
+        shown.append({r["attempt"]: r["state"] for r in newest})
+    assert shown[0] == {"1": "COLLECTING", "2": "DISCOVERED"}
+    assert shown[1]["1"] == "RETRYABLE" and shown[1]["2"] == "COLLECTING"
+    assert shown[3]["1"] == "PUBLISHED" and shown[3]["2"] == "PUBLISHED"
+    assert changes.agg(F.sum("late")).first()[0] == 1
 
 
 def test_each_bound_fact_changes_the_digest(tables):
