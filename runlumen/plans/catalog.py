@@ -29,6 +29,47 @@ def _(t):
     return evidence.attempt_evidence(evidence.classify(t.evidence_files))
 
 
+_STAGED = """staged AS (SELECT c_custkey, slot,
+    CAST(100 + c_custkey % 50 - CASE WHEN c_custkey % 13 = 5 AND slot = 'manifest' OR c_custkey % 17 = 3
+      AND slot = 'log' THEN 1 ELSE 0 END AS BIGINT) AS read_size,
+    CAST(CASE WHEN c_custkey % 19 = 4 AND slot = 'run_results' THEN 134217729 ELSE 100 + c_custkey % 50 END AS BIGINT)
+      AS declared_size
+  FROM customer CROSS JOIN (VALUES ('manifest'), ('run_results'), ('log')) s(slot)
+  WHERE NOT (slot = 'manifest' AND c_custkey % 11 = 2) AND NOT (slot = 'run_results' AND c_custkey % 7 = 1)
+    AND NOT (slot = 'log' AND c_custkey % 5 = 4))"""
+
+
+@query("src_evidence_read", None, f"""WITH {_STAGED},
+g AS (SELECT c_custkey, count(*) AS files, CAST(sum(read_size) AS BIGINT) AS read_bytes,
+    coalesce(bool_or(slot = 'manifest'), FALSE) AS m, coalesce(bool_or(slot = 'run_results'), FALSE) AS r,
+    coalesce(bool_or(slot = 'manifest' AND read_size <> declared_size), FALSE) AS m_bad,
+    coalesce(bool_or(read_size <> declared_size), FALSE) AS bad FROM staged GROUP BY 1)
+SELECT 'w1-j1-r1-t' || (c_custkey + 1) || '-p0-e1' AS attempt_key, files, read_bytes,
+  CASE WHEN NOT m THEN 'DBT_VOLUME_ARTIFACT_UNAVAILABLE' WHEN m_bad THEN 'DBT_VOLUME_ARTIFACT_SIZE_LIMIT_EXCEEDED'
+    WHEN NOT r THEN 'DBT_VOLUME_ARTIFACT_UNAVAILABLE' WHEN bad THEN 'DBT_VOLUME_ARTIFACT_SIZE_LIMIT_EXCEEDED' END
+    AS error_code FROM g""")
+def _(t):
+    """Files of one attempt per customer, staged and read back; some are short, some declared too large."""
+    key = F.col("c_custkey")
+    tails = {"manifest": "001-build/artifacts/manifest.json", "run_results": "001-build/artifacts/run_results.json",
+             "log": "001-build/logs/dbt.log"}
+    gone = {"manifest": key % 11 == 2, "run_results": key % 7 == 1, "log": key % 5 == 4}
+    short = ((F.col("slot") == "manifest") & (key % 13 == 5)) | ((F.col("slot") == "log") & (key % 17 == 3))
+    huge = (F.col("slot") == "run_results") & (key % 19 == 4)
+    size = (F.lit(100) + key % 50).cast("int")
+    slots = F.array(*(F.when(~gone[s], F.struct(F.lit(s).alias("slot"), F.lit(p).alias("tail"))) for s, p in tails.items()))
+    folder = f"{scratch(t.spark, 'stage')}"
+    base = folder if "://" in folder or folder.startswith("file:") else f"file:{folder}"
+    staged = t.base("customer").select("c_custkey", F.inline(F.array_compact(slots))).select(
+        F.concat(F.lit("incoming/w1-j1-r1-t"), (key + 1).cast("string"), F.lit("-p0-e1/"), "tail").alias("path"),
+        F.repeat(F.lit("x"), size - F.when(short, 1).otherwise(0)).cast("binary").alias("content"),
+        F.when(huge, 134217729).otherwise(size).cast("bigint").alias("length"))
+    evidence.write_files(staged, folder)
+    listing = staged.select(F.concat(F.lit(f"{base}/"), "path").alias("path"), "length")
+    files = evidence.classify(evidence.read_files(t.spark, folder))
+    return evidence.retrieval(evidence.verified(files, listing), ["attempt_key"])
+
+
 @query("src_tree_digest", None, f"""
 SELECT source, {SET_DIGEST} AS tree_sha256, count(*) AS file_count FROM (
   SELECT source, sha256(lang || '/' || doc_id || '|' || sha256(text)) AS h FROM documents) x

@@ -54,6 +54,15 @@ _TS = """NOT ({c} LIKE '%T%' AND regexp_matches({c}, '(Z|[+-][0-9][0-9]:[0-9][0-
 TIMING = {"DBT_TIMING_INVALID": f"{_TS.format(c='manifest_generated_at')} OR "
           f"{_TS.format(c='run_results_generated_at')} OR elapsed_time < 0"}
 
+
+def document_codes(groups):
+    """SQL of the codes of several rule groups over document_meta."""
+    rules = {"VERSIONS": VERSIONS, "INVOCATION": INVOCATION, "COMMAND": COMMAND, "TIMING": TIMING}
+    return "\nUNION ALL ".join(
+        f"SELECT dbt_task_run_id, '{code}' AS code FROM document_meta WHERE {cond}"
+        for name in groups for code, cond in rules[name].items())
+
+
 _document_rule("pair_size_gate", pairs.size_codes, SIZE)
 _document_rule("pair_depth_gate", pairs.depth_codes, DEPTH)
 _document_rule("pair_parse_gate", pairs.parse_codes, PARSE)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlumen.functions.documents import set_digest, sha256
@@ -15,6 +18,32 @@ _FILE = (
     r"|(000-deps|001-build)/logs/dbt\.log(?:\.([1-5]))?)$"
 )
 
+#: Columns of Spark's binary file source; streams want them named.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Stage rows (path below ``root``, content) as files; tasks write where ``root`` points to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        made, written = set(), 0
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                whole = f"{base}/{path}"
+                folder = whole.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(whole) as out:
+                    out.write(content)
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+
+    files.select("path", "content").mapInArrow(run, "written long").agg(F.sum("written")).collect()
+
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """All files below a folder as (path, modificationTime, length, content)."""
@@ -26,7 +55,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 def stream_files(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
     """The same files as a stream of new arrivals."""
     return (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", True)
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch).load(root)
     )
 
@@ -51,6 +80,39 @@ def classify(files: DataFrame) -> DataFrame:
     )
 
 
+def verified(classified: DataFrame, listing: DataFrame) -> DataFrame:
+    """Files with the size their listing declared: ``read_ok`` where as many bytes were read.
+
+    ``listing`` has path and length, and limits hold for what it declares. A file that no listing
+    names has no declared size and is not ok.
+    """
+    declared = listing.select("path", F.col("length").alias("declared_size"))
+    limit = F.when(F.col("role") == "log", MAX_LOG_FILE_BYTES).otherwise(MAX_DOCUMENT_BYTES)
+    joined = classified.drop("length", "size_ok").withColumn(
+        "read_size", F.octet_length("content").cast("bigint")).join(declared, "path", "left")
+    return joined.withColumns({
+        "read_ok": F.coalesce(F.col("read_size") == F.col("declared_size"), F.lit(False)),
+        "size_ok": F.coalesce(F.greatest("declared_size", "read_size") <= limit, F.lit(False))})
+
+
+def retrieval(verified_files: DataFrame, keys: list[str]) -> DataFrame:
+    """Per attempt the first error of its read files, null where all of them can be used."""
+    def some(condition: Column) -> Column:
+        return F.coalesce(F.bool_or(condition), F.lit(False))
+
+    role, there, bad = F.col("role"), F.col("read_size").isNotNull(), ~F.col("read_ok") | ~F.col("size_ok")
+    primary = [(some((role == r) & there), some((role == r) & there & bad)) for r in ("manifest", "run_results")]
+    facts = verified_files.groupBy(*keys).agg(
+        F.count_if(there).alias("files"), F.sum("read_size").alias("read_bytes"), some(bad & there).alias("bad"),
+        *(column.alias(f"{name}_{i}") for i, both in enumerate(primary) for name, column in zip(("has", "bad"), both)))
+    error = (
+        F.when(~F.col("has_0"), "DBT_VOLUME_ARTIFACT_UNAVAILABLE")
+        .when(F.col("bad_0"), "DBT_VOLUME_ARTIFACT_SIZE_LIMIT_EXCEEDED")
+        .when(~F.col("has_1"), "DBT_VOLUME_ARTIFACT_UNAVAILABLE")
+        .when(F.col("bad"), "DBT_VOLUME_ARTIFACT_SIZE_LIMIT_EXCEEDED"))
+    return facts.select(*keys, "files", "read_bytes", error.alias("error_code"))
+
+
 def attempt_evidence(classified: DataFrame) -> DataFrame:
     """Per attempt: presence of both primaries, log files, bytes and the first retrieval error."""
     role = F.col("role")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlumen.functions.documents import json_depth
-from runlumen.operators import health, lifecycle, pairs, publish
+from runlumen.operators import health, lifecycle, pairs, publish, store
 from runlumen.plans.book import Tables
 from runlumen.schemas import POLICY, REGISTRY_COLUMNS
 from runlumen.sources import artifacts, evidence
@@ -87,35 +87,54 @@ def test_fold_equals_a_sequential_walk(spark):
         a: walk(evs, as_of) for a, evs in by_attempt.items()}
 
 
-def test_publication_is_idempotent(spark, tables):
-    database = "publication_" + uuid.uuid4().hex[:6]
-    spark.sql(f"CREATE DATABASE {database}")
+def test_publication_is_idempotent(spark, tables, tmp_path):
     roots = tables.root_source
     keys = ["dbt_task_run_id", "normalized_digest"]
     accepted = roots.filter("invocation_id IS NOT NULL").select(*keys)
     facts = tables.invocations.join(accepted, keys, "left_semi")
     nodes = tables.nodes.join(accepted, keys, "left_semi")
-    store = [publish.VersionedTable(spark, database, n) for n in ("registry", "facts", "nodes")]
-    for table, rows in zip(store, (roots, facts, nodes), strict=True):
-        table.commit(rows.limit(0))
+    tables_of = [store.Partitions(spark, f"{tmp_path}/{n}", rows.schema, 500).create()
+                 for n, rows in (("registry", roots), ("facts", facts), ("nodes", nodes))]
     clock = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
 
     def run(source):
-        publish.publish(*store, source, facts, nodes, clock)
-        return [sorted(map(str, s.read().select(sorted(s.read().columns)).collect()))
-                for s in store]
+        store.publish(*tables_of, source, facts, nodes, clock)
+        return [sorted(map(str, s.read().select(sorted(s.read().columns)).collect())) for s in tables_of]
 
     first = run(roots)
     assert first == run(roots)
-    states = {r.collector_state: r.n for r in store[0].read().groupBy("collector_state").agg(
+    registry = tables_of[0]
+    states = {r.collector_state: r.n for r in registry.read().groupBy("collector_state").agg(
         F.count("*").alias("n")).collect()}
     assert states["PUBLISHED"] > 0
     changed = roots.withColumn("normalized_digest", F.sha2("normalized_digest", 256))
-    actions = publish.digest_action(store[0].read(), changed)
+    actions = publish.digest_action(registry.read(), changed)
     assert {r.action for r in actions.select("action").distinct().collect()} == {"CONFLICT"}
     assert first == run(changed)
-    store[0].vacuum(keep=1)
-    assert store[0].read().columns == REGISTRY_COLUMNS
+    assert registry.create().read().columns == REGISTRY_COLUMNS and registry.read().count() == len(first[0])
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    schema = "dbt_task_run_id long, v string"
+    rows = spark.createDataFrame([(i, "a") for i in range(100)], schema)
+    table = store.Partitions(spark, f"{tmp_path}/t", rows.schema, 10).create()
+    table.append_new(rows, ["dbt_task_run_id"])
+
+    def files():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+
+    before = files()
+    table.append_new(rows, ["dbt_task_run_id"])
+    assert files() == before and table.read().count() == 100
+    change = spark.createDataFrame([(42, "b")], schema)
+    assert table.near(change).count() == 10
+    table.overwrite(table.near(change).filter("dbt_task_run_id <> 42").union(change))
+    after = files()
+    assert {p for p in before if p not in after} == {p for p in before if "part=4/" in p}
+    assert table.read().count() == 100 and table.read().filter("v = 'b'").count() == 1
+    named, store.NAMED = store.NAMED, 0
+    assert table.near(change).count() == 10
+    store.NAMED = named
 
 
 def document_pair(**changes):

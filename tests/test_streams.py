@@ -1,14 +1,16 @@
 """Streams give the same rows however the feed is cut into batches; digests and decoding."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from runlumen.operators import lifecycle, publish
 from runlumen.plans import load_all
 from runlumen.plans.book import Tables
-from runlumen.plans.streams import dedup_stream, feed, lifecycle_stream
-from runlumen.sources import artifacts
-from runlumen.streaming import dedup
+from runlumen.plans.streams import dedup_stream, feed, ingest_files, lifecycle_stream, staged_documents
+from runlumen.sources import artifacts, evidence
+from runlumen.streaming import dedup, ingest
 from runlumen.streaming.lifecycle import UPDATES, drain_lifecycle
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +96,28 @@ def test_lease_ends_without_a_later_event(spark, tmp_path):
     assert changes.agg(F.sum("late")).first()[0] == 1
 
 
+def test_files_are_ingested_once_and_where_they_belong(spark, tables):
+    files = staged_documents(tables)
+    registry, invocations, nodes, base = ingest_files(spark, files, 2, 1000)
+    attempts = files.select("dbt_task_run_id").distinct().count()
+    found = registry.read()
+    assert found.count() == attempts and found.filter("collector_state <> 'PUBLISHED'").count() == 0
+    assert found.filter("pair_state = 'PAIR_VALID'").count() == invocations.read().count() == nodes.read().count() > 0
+
+    def listing():
+        return {p: p.stat().st_mtime_ns for p in pathlib.Path(base).rglob("part=*/*.parquet") if "custody" not in str(p)}
+
+    # the same documents again, as other files: nothing changes, and no stored file is touched but the registry's
+    before, rows_before = listing(), rows(found)
+    evidence.write_files(files.withColumn("path", F.concat(F.lit("again/"), "path")), f"{base}/stage")
+    clock = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    ingest.drain_evidence(evidence.stream_files(spark, f"{base}/stage"), f"{base}/custody", registry, invocations,
+                          nodes, clock, f"{base}/checkpoint")
+    assert rows(registry.read()) == rows_before
+    children = {p: t for p, t in before.items() if "/registry/" not in str(p)}
+    assert children == {p: t for p, t in listing().items() if "/registry/" not in str(p)}
+
+
 def test_each_bound_fact_changes_the_digest(tables):
     key = ["workspace_id", "dbt_task_run_id", "normalized_digest"]
     # a record whose own digest has a published invocation
