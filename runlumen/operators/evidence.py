@@ -88,6 +88,22 @@ def member_codes(root: str = "target/attempts/") -> dict[str, Column]:
     return codes
 
 
+#: Rules that read more than the member's own row.
+POSITIONAL = ("DBT_ARCHIVE_MEMBER_LIMIT_EXCEEDED", "DBT_ARCHIVE_MEMBER_DUPLICATE",
+              "DBT_ARCHIVE_EXPANDED_SIZE_LIMIT_EXCEEDED")
+
+
+def breaking(members: DataFrame, codes: list[str], root: str = "target/attempts/") -> DataFrame:
+    """Members that break one of the rules; rules on the row itself are a filter of the scan."""
+    rows = members.withColumn("normal", normal_path(F.col("path")))
+    if set(codes) & set(POSITIONAL):
+        rows = scanned(members)
+    rules, hit = member_codes(root), F.lit(False)
+    for code in codes:
+        hit = hit | rules[code]
+    return rows.filter(hit)
+
+
 def member_code(root: str = "target/attempts/") -> Column:
     """Code of the first rule a member breaks, or null."""
     return F.coalesce(*(F.when(cond, F.lit(code)) for code, cond in member_codes(root).items()))
@@ -162,5 +178,5 @@ def capture_state(facts: DataFrame) -> DataFrame:
     return facts.select(*KEY, chosen.alias("v")).select(*KEY, "v.*")
 
 
-__all__ = ["scanned", "member_codes", "member_code", "first_violation", "primary_facts",
+__all__ = ["scanned", "member_codes", "member_code", "breaking", "first_violation", "primary_facts",
            "manifest_standalone", "capture_state", "version_codes"]

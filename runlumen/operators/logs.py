@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StructType
 
-from runlumen.functions.documents import json_depth, sha256
+from runlumen.functions.documents import json_depth
 from runlumen.functions.labels import normal_uuid
 from runlumen.schemas import (
     MAX_JSON_DEPTH,
@@ -17,6 +23,8 @@ from runlumen.schemas import (
 
 KEYS = ["attempt", "ordinal"]
 MAIN_REPORT = "MainReportVersion"
+#: Bytes of a log file that travel in one row; a batch of rows stays below 200 MB.
+CHUNK = 1 << 14
 
 
 def lines(files: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -173,14 +181,54 @@ def states(expected: DataFrame, files: DataFrame, exploded: DataFrame,
 def reconstruct(files: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Bytes of the rotations joined oldest first, hashed; null if a rotation is there twice.
 
-    A digest runs over its bytes in order, so the files of one log meet in one row, however many.
+    Files are cut into chunks, which are sorted by (log, age, place) inside partitions of logs and fed
+    to the digest one after the other: no task holds a log, however long it is, and what is sorted
+    spills. A file without a rotation makes its log unusable, one without content counts as empty.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(
-        (-F.col("rotation")).alias("age"), F.col(content).alias("body"))))
-    grouped = files.groupBy(*keys).agg(
-        F.count("*").alias("file_count"), F.count_distinct("rotation").alias("rotation_count"),
-        F.sum(F.octet_length(content).cast("bigint")).alias("size_bytes"), ordered.alias("files"))
-    whole = F.array_join(F.transform("files", lambda x: x["body"]), "")
-    usable = F.col("file_count") == F.col("rotation_count")
-    return grouped.select(
-        *keys, "file_count", "size_bytes", F.when(usable, sha256(whole)).alias("sha256"))
+    body = F.col(content).cast("binary")
+    size = F.octet_length(content).cast("bigint")
+    places = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.coalesce(size, F.lit(0)) - 1, F.lit(0)) / CHUNK))
+    cut = files.select(*keys, "rotation", size.alias("size"), body.alias("body"), F.explode(places).alias("place"))
+    chunks = cut.select(*keys, "rotation", "size", "place", F.substring(
+        "body", (F.col("place") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("chunk"))
+    kinds = dict(files.select(*keys).dtypes)
+    named = [f"k{i}" for i in range(len(keys))]
+    sorted_chunks = chunks.toDF(*named, "rotation", "size", "place", "chunk").repartition(
+        *named).sortWithinPartitions(*named, F.desc("rotation"), "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs: list[tuple] = []
+        log, digest = None, None
+
+        def close() -> None:
+            if log is not None:
+                key, count, total, usable, _ = log
+                logs.append((*key, count, total, digest.hexdigest() if usable else None))
+
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in (*named, "rotation", "size", "place", "chunk")]
+            for *key, rotation, length, place, chunk in zip(*columns):
+                if log is None or log[0] != key:
+                    close()
+                    log, digest = [key, 0, None, True, None], hashlib.sha256()
+                if place == 0:
+                    log[1] += 1
+                    log[2] = log[2] if length is None else (log[2] or 0) + length
+                log[3] = log[3] and rotation is not None and (rotation, place) != log[4]
+                log[4] = (rotation, place)
+                digest.update(chunk or b"")
+            if logs:
+                yield _rows(logs, schema)
+                logs = []
+        close()
+        if logs:
+            yield _rows(logs, schema)
+
+    schema = to_arrow_schema(StructType.fromDDL(", ".join(
+        [*(f"{n} {kinds[k]}" for n, k in zip(named, keys)), "file_count long, size_bytes long, sha256 string"])))
+    return sorted_chunks.mapInArrow(run, from_arrow_schema(schema)).toDF(
+        *keys, "file_count", "size_bytes", "sha256")
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

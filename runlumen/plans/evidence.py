@@ -49,11 +49,7 @@ def _member_rule(name, codes):
     sql = f"WITH {SCAN} SELECT dbt_task_run_id, seq, path FROM prim WHERE {cond}"
 
     def run(t):
-        rules = evidence.member_codes()
-        hit = F.lit(False)
-        for code in codes:
-            hit = hit | rules[code]
-        return evidence.scanned(t.members).filter(hit).select("dbt_task_run_id", "seq", "path")
+        return evidence.breaking(t.members, codes).select("dbt_task_run_id", "seq", "path")
 
     query(name, ["members"], sql)(run)
 

@@ -1,5 +1,6 @@
 """Operators on fixtures: trend axes, lifecycle fold, publication, documents end to end, plans."""
 
+import hashlib
 import json
 import random
 import uuid
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlumen.functions.documents import json_depth
-from runlumen.operators import health, lifecycle, pairs, publish, store
+from runlumen.operators import evidence as members_evidence
+from runlumen.operators import health, lifecycle, logs, pairs, publish, store
 from runlumen.plans.book import Tables
 from runlumen.schemas import POLICY, REGISTRY_COLUMNS
 from runlumen.sources import artifacts, evidence
@@ -230,3 +232,28 @@ def test_plans(tables):
         json_depth(F.col("props"))))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in scan
     assert "ReadSchema: struct<event_type:string,props:string>" in scan
+
+
+def test_logs_are_hashed_in_order_and_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(logs, "CHUNK", 7)
+    rows = [("a", 0, b"newest " * 9), ("a", 2, b"oldest" * 20), ("a", 1, b""), ("b", 0, b"x"), ("b", 0, b"x"),
+            ("c", None, b"y"), ("d", 1, None), ("d", 0, b"z" * 14), (None, 0, b"w"), ("e", 0, None)]
+    df = spark.createDataFrame(rows, "log string, rotation int, content binary").repartition(4)
+    found = {r["log"]: tuple(r)[1:] for r in logs.reconstruct(df, ["log"], "content").collect()}
+
+    def sha(body):
+        return hashlib.sha256(body).hexdigest()
+
+    assert found == {
+        "a": (3, 183, sha(b"oldest" * 20 + b"newest " * 9)), "b": (2, 2, None), "c": (1, 1, None),
+        "d": (2, 14, sha(b"z" * 14)), None: (1, 1, sha(b"w")), "e": (1, None, sha(b""))}
+
+
+def test_rules_on_the_row_itself_do_not_shuffle(tables):
+    for codes in (["DBT_ARCHIVE_PATH_UNSAFE"], ["DBT_ARCHIVE_LOG_PATH_UNEXPECTED"], ["DBT_ARCHIVE_MEMBER_TYPE_UNSAFE"]):
+        members = tables.base("events").selectExpr(
+            "event_id AS dbt_task_run_id", "event_id AS seq", "event_type AS path", "'file' AS kind",
+            "0L AS declared_size", "0L AS read_size", "'k' AS attempt_key", "true AS include_deps")
+        assert "Exchange" not in plan_of(members_evidence.breaking(members, codes))
+    counts = plan_of(publish.child_readback(tables.registry, tables.invocations, tables.nodes))
+    assert "CartesianProduct" not in counts
