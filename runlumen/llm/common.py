@@ -34,6 +34,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
                   F.lit(folds))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which the cluster sizes to its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

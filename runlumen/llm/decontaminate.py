@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from runlumen.llm.common import pieces, texts_of
 
-#: Share of an item's characters that may differ, and the shortest item that is evidence.
+#: Share of an item's characters that may differ, and the shortest item in which any may.
 RATE, LEAST = 0.1, 20
 #: Characters of items in one automaton (a megabyte broadcast); more items take more passes.
 BLOCK_CHARS = 1 << 20
@@ -77,13 +77,13 @@ def parts_around(piece: int, pieces_in_all: int) -> list[tuple[int, int]]:
 class Matcher:
     """All items of a block: an automaton of pieces and the distance check."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int = LEAST) -> None:
         import ahocorasick
 
-        self.items, self.cuts = items, []
+        self.items, self.cuts, self.least = items, [], least
         found: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text) in enumerate(items):
-            n = int(rate * len(text)) + 1
+            n = int(rate * len(text)) + 1 if len(text) >= least else 1
             cuts = [i * len(text) // n for i in range(n + 1)]
             self.cuts.append(cuts)
             for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -98,6 +98,9 @@ class Matcher:
         """Whether the whole item matches around an exact hit of a piece at ``at``."""
         item, cuts = self.items[number][1], self.cuts[number]
         start = at - cuts[piece]
+        if len(item) < self.least:  # too short to differ: whole words, as they are
+            return not (text[at - 1:at].isalnum() and item[0].isalnum()) and not (
+                text[at + len(item):at + len(item) + 1].isalnum() and item[-1].isalnum())
         for low, high in parts_around(piece, len(cuts) - 1):
             budget = high - low - 1
             passage = text[max(0, start + cuts[low] - budget):start + cuts[high] + budget]
@@ -118,11 +121,11 @@ class Matcher:
         return sorted({self.items[n][0] for n in hit})
 
 
-def blocks(items: DataFrame, least: int = LEAST, most: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
+def blocks(items: DataFrame, most: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
     """Items (item_id, text) normalised and cut into blocks of about ``most`` characters.
 
     Their number follows from the total length, counted first; each block is fetched by itself. Items
-    without id or text or of fewer than ``least`` characters are no evidence and are left out.
+    without id or without any word are left out.
     """
     usable = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -131,7 +134,7 @@ def blocks(items: DataFrame, least: int = LEAST, most: int = BLOCK_CHARS) -> lis
     for i in range(n):
         part = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
         clean = sorted({(r["item_id"], normal(r["text"])) for r in part})
-        result.append([x for x in clean if len(x[1]) >= least])
+        result.append([x for x in clean if x[1]])
     return result
 
 
@@ -140,16 +143,17 @@ def contaminating(docs: DataFrame, items: DataFrame, rate: float = RATE, out: st
     """``docs`` (needs text) with the sorted ids of benchmark items that each whole text contains.
 
     A text contains an item if some passage is within ``rate`` of the item's length in edits, case and
-    white space aside. Null and empty texts contain none; a column named ``out`` is replaced; repeated
+    white space aside; an item of fewer than ``least`` characters must be there unchanged, between word
+    bounds. Null and empty texts contain none; a column named ``out`` is replaced; repeated
     rows get equal lists. Documents stay in their partitions: nothing is shuffled.
     """
     kept = docs.select(*[c for c in docs.columns if c != out])
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(b) for b in blocks(items, least, most)]
+    shared = [context.broadcast(b) for b in blocks(items, most)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [Matcher(b.value, rate) for b in shared]
+        matchers = [Matcher(b.value, rate, least) for b in shared]
         for batch in pieces(batches, "text", CHUNK):
             found = [sorted({i for m in matchers for i in m.matches(t)}) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(

@@ -213,34 +213,37 @@ def _sets(n: int):
             d1, d2 = digests(values, offsets)
             same = (np.asarray(batch["d1"]) == d1) & (np.asarray(batch["d2"]) == d2)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-            out = pa.RecordBatch.from_arrays([batch["grp"], batch["doc"], batch["blocks"], lists],
-                                             ["grp", "doc", "blocks", "items"])
+            out = pa.RecordBatch.from_arrays([batch[c] for c in ("grp", "doc", "blocks", "d1", "d2")] + [lists],
+                                             ["grp", "doc", "blocks", "d1", "d2", "items"])
             yield out.filter(pa.array(same))
     return run
 
 
 def _search(percent: int):
-    """Search each (grp, i, j) of a partition sorted by it."""
+    """Search each (grp, i, j) of a partition sorted by it; a document may have several sets."""
     def close(docs: list, sets: list) -> tuple[np.ndarray, np.ndarray]:
-        ids, at = np.unique(np.array(docs, np.int64), return_index=True)
-        found = overlap_links([sets[k] for k in at], percent) if len(at) > 1 else []
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+        ids = np.array(docs, np.int64)
+        pairs = np.array(overlap_links(sets, percent), np.int64).reshape(-1, 2)
         return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, sets = None, [], []
+        now, docs, sets, seen = None, [], [], set()
         for batch in batches:
             keys = list(zip(*[batch[c].to_pylist() for c in ("grp", "i", "j")], strict=True))
             ids = batch["doc"].to_pylist()
+            names = zip(ids, batch["d1"].to_pylist(), batch["d2"].to_pylist())
             values = np.array(batch["items"].flatten(), np.int64)
             ends = np.cumsum(np.asarray(pa.compute.list_value_length(batch["items"])))
             rows = np.split(values, ends[:-1]) if len(ends) else []
-            for key, doc, items in zip(keys, ids, rows, strict=True):
+            for key, doc, name, items in zip(keys, ids, names, rows, strict=True):
                 if key != now:
                     if len(docs) > 1:
                         a, b = close(docs, sets)
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                    now, docs, sets = key, [], []
+                    now, docs, sets, seen = key, [], [], set()
+                if name in seen:  # the same row once more
+                    continue
+                seen.add(name)
                 docs.append(doc)
                 sets.append(items.copy())
         if len(docs) > 1:
@@ -276,12 +279,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, block: int = BLOCK) ->
     # the same join at every size: the wanted documents are many on a large corpus
     sets = known.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select(
         "grp", "doc", "blocks", "text", "d1", "d2").mapInArrow(
-        _sets(n), "grp long, doc long, blocks int, items array<long>")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+        _sets(n), "grp long, doc long, blocks int, d1 long, d2 long, items array<long>")
+    own = F.pmod(F.xxhash64("doc", "d1", "d2"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != own))
     dealt = sets.withColumn("other", F.explode(others)).select(
-        "grp", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "doc", "items")
+        "grp", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "doc", "d1",
+        "d2", "items")
     dealt = dealt.repartition(partitions(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     found = dealt.mapInArrow(_search(percent), "a long, b long")
     copies = filled.join(classes, ["d1", "d2", "n"]).filter("doc <> rep").select(

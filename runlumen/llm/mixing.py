@@ -97,13 +97,17 @@ def mix(docs: DataFrame, schedule: DataFrame, cap: float = 3.0, blocks: int = BL
     than ``cap`` times its size. mix_positions lists the training time of each pass.
 
     Null or empty texts have size 0 and are taken 0 times; a null source is a source of its own;
-    repeated rows count each; reruns agree, since the order comes from a hash of doc_id and text.
+    repeated rows count each; reruns agree, since the order comes from a hash of doc_id and text and
+    rows alike in both go by their other columns.
     """
     kept = [c for c in docs.columns if c not in _OWN]
     size = n_words(F.col("text")) if size is None else size
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text") if "text" in docs.columns else F.lit(0))
-    rows = docs.withColumns({"mix_size": size, "mix_key": key}).withColumn(
-        "mix_block", F.pmod("mix_key", F.lit(blocks))).select(*kept, "mix_size", "mix_key", "mix_block")
+    content = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if c in kept and "map<" not in t])
+    # a document's own columns travel as one, so none of them can meet a name used here
+    rows = docs.select(F.struct(*kept).alias("own"), "source", size.alias("mix_size"), key.alias("mix_key"),
+                       F.struct("doc_id", content).alias("mix_tie")).withColumn(
+        "mix_block", F.pmod("mix_key", F.lit(blocks)))
     dealt = rows.repartition("source", "mix_block")
     sums = dealt.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("words"))
     totals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), schedule, cap)
@@ -115,7 +119,7 @@ def mix(docs: DataFrame, schedule: DataFrame, cap: float = 3.0, blocks: int = BL
         "mix_name", "mix_at", "mix_offset", F.col("source_size").alias("mix_source_size"),
         F.col("segments").alias("mix_segments"), F.col("share").alias("mix_share"),
         F.col("target").alias("mix_target"))
-    in_block = Window.partitionBy("source", "mix_block").orderBy("mix_key", "doc_id").rowsBetween(
+    in_block = Window.partitionBy("source", "mix_block").orderBy("mix_key", "mix_tie").rowsBetween(
         Window.unboundedPreceding, -1)
     queued = dealt.withColumn("mix_before", F.coalesce(F.sum("mix_size").over(in_block), F.lit(0)))
     placed = queued.join(offsets, F.col("source").eqNullSafe(F.col("mix_name"))
@@ -130,7 +134,7 @@ def mix(docs: DataFrame, schedule: DataFrame, cap: float = 3.0, blocks: int = BL
     due = lambda i: (start + i * F.col("mix_source_size")) / F.col("mix_target") * F.col("mix_share")
     positions = F.when((F.col("mix_size") > 0) & (times > 0), F.transform(
         F.sequence(F.lit(0), times - 1), lambda i: _time_of(F.col("mix_segments"), due(i))))
-    return placed.select(*kept, "mix_size", "mix_source_size", "mix_target", taken.alias("mix_taken"),
+    return placed.select("own.*", "mix_size", "mix_source_size", "mix_target", taken.alias("mix_taken"),
                          positions.alias("mix_positions"))
 
 
@@ -140,6 +144,16 @@ def sort_by_position(mixed: DataFrame) -> DataFrame:
         F.col("position").asc_nulls_last(), "doc_id")
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per pass over a taken document, range-sorted by training position."""
-    return mixed.withColumn("position", F.explode("mix_positions")).orderBy("position", "doc_id")
+def training_order(mixed: DataFrame, out: str = "position") -> DataFrame:
+    """One row per pass over a taken document, range-sorted by training position in the new column ``out``."""
+    return mixed.withColumn(out, F.explode("mix_positions")).orderBy(out, "doc_id")
+
+
+def ramps(weights: DataFrame) -> DataFrame:
+    """(source, weight) as schedules that vary: half the weight at the start, one and a half at the end.
+
+    Their integrals are the weights, so shares are those of ``constant_schedule`` but each source
+    comes in more densely as training goes on, from a start where it is sparse.
+    """
+    knot = lambda t, f: F.struct(F.lit(t).alias("t"), (F.col("weight") * f).cast("double").alias("w"))
+    return weights.select("source", F.array(knot(0.0, 0.5), knot(1.0, 1.5)).alias("knots"))

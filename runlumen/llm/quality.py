@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Fit the model on at most ``rows`` labelled documents of the folds other than ``held_out``.
 
     The sample is the labelled ids with the smallest hash; its ids (at most ``rows``) are broadcast to
-    the scan of ``docs``, and texts are taken in that order until ``most_bytes``. Rows without id,
+    the scan of ``docs``, and texts are taken in that order as far as they fit ``most_bytes``: a text that does
+    not fit is passed over and the next ones are tried. It is an error if no labelled text fits. Rows without id,
     label or text teach nothing. An id labelled twice counts with its smallest label. Without any
     usable label every score is 0.5.
     """
@@ -133,13 +134,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     sample = sample.orderBy("sample_order", "sample_id", F.xxhash64("text")).limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, marks, left = [], [], most_bytes
+        examples, marks, left, offered = [], [], most_bytes, 0
         for batch in pieces(batches, "text", CHUNK):
-            left -= pa.compute.sum(pa.compute.binary_length(batch["text"])).as_py()
-            if left < 0:
-                break
-            examples += _counts(batch["text"])
-            marks += batch["sample_label"].to_pylist()
+            offered, fits = offered + batch.num_rows, []
+            for size in pa.compute.binary_length(batch["text"]).to_pylist():
+                fits.append(size <= left)
+                left -= size if fits[-1] else 0
+            taken = batch.filter(pa.array(fits))
+            examples += _counts(taken["text"])
+            marks += taken["sample_label"].to_pylist()
+        if offered and not examples:
+            raise ValueError(f"none of {offered} labelled texts fits {most_bytes} bytes")
         model = fit(examples, np.array(marks, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()])], ["model"])
 

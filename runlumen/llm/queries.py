@@ -26,8 +26,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; sources weigh 1, 2, 3 in turn, at most three times their words."""
     docs = table(spark, sf_dir, "documents")
-    schedule = mixing.constant_schedule(mixing.cyclic_weights(docs))
-    narrow = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
+    schedule = mixing.ramps(mixing.cyclic_weights(docs))
+    narrow = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"),
+                         F.xxhash64("text").alias("text_hash"))
     mixed = mixing.mix(narrow, schedule, cap=3.0, size=F.col("words"))
     return mixing.sort_by_position(mixed).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),

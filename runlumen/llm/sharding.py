@@ -40,14 +40,16 @@ def assign(docs: DataFrame, shards: int | list[float], key: str = "doc_id", grow
     table = F.array(*[F.lit(w) for w in weights])
     bids = F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda i: F.struct(
         bid(F.col("shard_key"), i, table[i]).alias("bid"), i.alias("shard")))
-    rows = docs.select(*kept).withColumn("shard_key", name).withColumn("shard_won", F.array_min(bids))
+    # a row's own columns travel as one, so none of them can meet a name used here
+    content = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if c in kept and "map<" not in t])
+    rows = docs.select(F.struct(*kept).alias("own"), name.alias("shard_key"), content.alias("shard_row")).withColumn(
+        "shard_won", F.array_min(bids))
     late = bid(F.col("shard_key"), F.lit(len(weights)), F.lit(float(grown_weight)))
     rows = rows.withColumns({
         "law": F.lit("key"), "shard": F.col("shard_won")["shard"],
         "grown_shard": F.when(late < F.col("shard_won")["bid"], len(weights)).otherwise(
             F.col("shard_won")["shard"]),
         "shard_order": F.xxhash64(F.lit("slot"), "shard_key"),
-        "shard_row": F.xxhash64(*[F.col(c) for c, t in docs.dtypes if c in kept and "map<" not in t]),
     }).withColumn("shard_block", F.pmod("shard_order", F.lit(blocks))).drop("shard_won")
     dealt = rows.repartition("shard", "shard_block")
     counts = dealt.groupBy("shard", "shard_block").agg(F.count("*").alias("n"))
@@ -60,4 +62,4 @@ def assign(docs: DataFrame, shards: int | list[float], key: str = "doc_id", grow
     placed = numbered.join(offsets, (F.col("shard") == F.col("shard_of"))
                            & (F.col("shard_block") == F.col("shard_at")))
     slot = (F.col("shard_offset") + F.col("shard_place")).cast("long")
-    return placed.select(*kept, "law", "shard", slot.alias("slot"), "grown_shard")
+    return placed.select("own.*", "law", "shard", slot.alias("slot"), "grown_shard")
