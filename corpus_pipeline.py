@@ -9,42 +9,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from runlumen.llm import decontaminate, jaccard, mixing, quality, sharding
-from runlumen.llm.common import table
+from runlumen.llm.common import fresh, table
 from runlumen.session import stage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (probability of label 1 at least 0.5)."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("quality_score >= 0.5").select(*docs.columns)
+    score = fresh(docs, "quality_score")
+    return quality.score(docs, model, score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group alike in 5-word shingles (80 % or more).
 
-    Of rows that share a doc_id one stays; rows without a doc_id are in no group and stay.
+    Of rows with one doc_id and one text one stays. A row whose doc_id also stands at another text is
+    compared by its own text, under a number made from both, and goes only if that text is in a group.
+    Rows without a doc_id are in no group and stay.
     """
-    groups = jaccard.join(docs, n=5, percent=80).filter("doc_id is not null")
-    later = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(later, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang")
-    first = named.withColumn("near_row", F.row_number().over(order)).filter("near_row = 1")
-    return first.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()).select(*docs.columns))
+    # a row's own columns travel as one, so none of them can meet a name used here
+    content = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
+    known = docs.filter(F.col("doc_id").isNotNull()).select(
+        F.struct(*docs.columns).alias("own"), "doc_id", "text", F.xxhash64("text").alias("hash"), content.alias("content"))
+    several = known.groupBy(F.col("doc_id").alias("several")).agg(
+        F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least <> most").drop("most")
+    other = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "hash"), 3)
+    number = F.when(F.col("hash") != F.col("least"), other).otherwise(F.col("doc_id").cast("long"))
+    numbered = known.join(several, F.col("doc_id") == F.col("several"), "left").select(
+        number.alias("number"), "own", "text", "content")
+    groups = jaccard.join(numbered.select(F.col("number").alias("doc_id"), "text"), n=5, percent=80)
+    later = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("number")).distinct()
+    kept = numbered.join(later, "number", "left_anti").select("number", "own", "content")
+    # of rows of one id and text the least by their columns
+    again = kept.groupBy(F.col("number").alias("again")).count().filter("count > 1").select("again")
+    marked = kept.join(again, F.col("number") == F.col("again"), "left")
+    one = marked.filter("again is not null").groupBy("again").agg(F.min_by("own", "content").alias("own"))
+    single = marked.filter("again is null").select("own.*")
+    return single.union(one.select("own.*")).union(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminating(docs, table(spark, sf_dir, "benchmark"), out="benchmark_items")
-    return found.filter(F.size("benchmark_items") == 0).select(*docs.columns)
+    items = fresh(docs, "benchmark_items")
+    found = decontaminate.contaminating(docs, table(spark, sf_dir, "benchmark"), out=items)
+    return found.filter(F.size(items) == 0).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, one row for each pass of the mix over them."""
-    schedule = mixing.constant_schedule(mixing.cyclic_weights(docs))
-    return mixing.training_order(mixing.mix(docs, schedule)).select(*docs.columns)
+    schedule = mixing.ramps(mixing.cyclic_weights(docs))
+    return mixing.training_order(mixing.mix(docs, schedule), fresh(docs, "position")).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
