@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlumen.operators import health
-from runlumen.schemas import ATTEMPT_KEY
+from runlumen.schemas import ATTEMPT_KEY, fields
 from runlumen.sources.tables import SCHEMAS
 
-TABLE_NAMES = ["registry", "invocations", "node_results"]
+TABLE_NAMES = ["registry", "invocations", "node_results", "object_manifest"]
 VIEW_NAMES = ["run_health", "node_health", "collection_health"]
 
 
@@ -22,29 +22,87 @@ def publish_views(spark: SparkSession, registry: DataFrame, invocations: DataFra
 
 
 def create_tables(spark: SparkSession, database: str, contract: str, buckets: int = 8) -> None:
-    """Create the three tables once, bucketed by attempt so that joins on it need no shuffle.
+    """Create the four tables once; evidence is bucketed by attempt so that joins on it need no shuffle.
 
-    All absent: create. All present: leave them for verification. A part present: an error.
+    All absent: create. All present: verify them against the contract. A part present, or a table that
+    differs: an error that says what.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     present = [n for n in TABLE_NAMES if spark.catalog.tableExists(f"{database}.{n}")]
-    if len(present) == len(TABLE_NAMES):
-        return
-    if present:
+    if not present:
+        for name in TABLE_NAMES:
+            keyed = set(ATTEMPT_KEY) <= {c for c, _ in fields(SCHEMAS[name])}
+            layout = f"CLUSTERED BY ({', '.join(ATTEMPT_KEY)}) INTO {buckets} BUCKETS" if keyed else ""
+            spark.sql(
+                f"CREATE TABLE {database}.{name} ({SCHEMAS[name]}) USING parquet {layout} "
+                f"TBLPROPERTIES ('contract.digest'='{contract}', 'contract.role'='{name}')")
+    elif len(present) < len(TABLE_NAMES):
         raise RuntimeError("PARTIAL_SCHEMA_STATE")
-    for name in TABLE_NAMES:
-        spark.sql(
-            f"CREATE TABLE {database}.{name} ({SCHEMAS[name]}) USING parquet "
-            f"CLUSTERED BY ({', '.join(ATTEMPT_KEY)}) INTO {buckets} BUCKETS "
-            f"TBLPROPERTIES ('contract.digest'='{contract}', 'contract.role'='{name}')"
-        )
+    found = drift(described(spark, database, TABLE_NAMES), table_contract(spark, contract)).collect()
+    if found:
+        told = ", ".join(sorted(f"{r['relation']}.{r['aspect']}:{r['drift']}" for r in found))
+        raise RuntimeError(f"SCHEMA_STATE_DRIFT {told}")
 
 
-def listed(spark: SparkSession, database: str) -> DataFrame:
-    """Relations of a database as rows (a catalog listing, bounded by the number of relations)."""
-    rows = [(t.name.lower(), t.tableType) for t in spark.catalog.listTables(database)
-            if not t.isTemporary]
-    return spark.createDataFrame(rows, "name STRING, kind STRING")
+#: Aspects of a relation as rows: its kind, provider, owner, view text, properties by key, columns by place.
+ASPECTS = "relation STRING, aspect STRING, name STRING, value STRING"
+
+
+def table_contract(spark: SparkSession, contract: str) -> DataFrame:
+    """Aspect rows that the four tables must have."""
+    rows = []
+    for table in TABLE_NAMES:
+        rows += [(table, "type", "", "MANAGED"), (table, "provider", "", "parquet"),
+                 (table, "property", "contract.digest", contract), (table, "property", "contract.role", table)]
+        rows += [(table, "column", f"{i:04d}", f"{name} {kind}") for i, (name, kind) in enumerate(fields(SCHEMAS[table]))]
+    return spark.createDataFrame(rows, ASPECTS)
+
+
+def described(spark: SparkSession, database: str, names: list[str]) -> DataFrame:
+    """Aspect rows of relations as the catalog describes them; one description per named relation."""
+    raw = [(n, spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{n} AS JSON").first()[0]) for n in names]
+    found = spark.createDataFrame(raw, "relation STRING, raw STRING").withColumn("d", F.from_json("raw", (
+        "type STRING, provider STRING, owner STRING, view_text STRING, table_properties MAP<STRING, STRING>, "
+        "columns ARRAY<STRUCT<name: STRING, type: STRUCT<name: STRING>>>")))
+    d = F.col("d")
+
+    def rows(aspect: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(aspect).alias("aspect"), name.alias("name"), value.alias("value"))
+
+    single = [rows(a, F.lit(""), d[a]) for a in ("type", "provider", "owner")]
+    single.append(rows("view_text", F.lit(""), folded_sql(d["view_text"])))
+    properties = F.transform(F.map_entries(F.coalesce(d["table_properties"], F.create_map().cast("map<string,string>"))),
+                             lambda e: rows("property", e["key"], e["value"]))
+    columns = F.transform(d["columns"], lambda c, i: rows(
+        "column", F.lpad(i.cast("string"), 4, "0"), F.lower(F.concat(
+            c["name"], F.lit(" "), F.regexp_replace(c["type"]["name"], "_ltz$", "")))))
+    every = F.concat(F.array(*single), properties, columns)
+    return found.select("relation", F.inline(every)).filter("value is not null")
+
+
+def drift(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """Aspects that differ: MISSING, EXTRA (of properties and columns) or CHANGED; empty if all agree.
+
+    Owners and whatever else the contract does not name for a relation are not compared.
+    """
+    key = ["relation", "aspect", "name"]
+    bound = expected.select("relation", "aspect").distinct()
+    seen = observed.join(bound, ["relation", "aspect"], "left_semi")
+    o, e = seen.withColumnRenamed("value", "observed"), expected.withColumnRenamed("value", "expected")
+    told = (F.when(F.col("observed").isNull(), "MISSING").when(F.col("expected").isNull(), "EXTRA")
+            .when(F.col("observed") != F.col("expected"), "CHANGED"))
+    return o.join(e, key, "full").withColumn("drift", told).filter(F.col("drift").isNotNull())
+
+
+def set_digest_of(aspects: DataFrame) -> DataFrame:
+    """One digest over all relations, their kinds, columns, properties and view texts, in a fixed order.
+
+    The rows of a contract are few: a bounded number of relations with a bounded number of aspects.
+    """
+    one = F.struct("aspect", "name", "value")
+    per_relation = aspects.groupBy("relation").agg(F.array_sort(F.collect_list(one)).alias("aspects"))
+    whole = F.array_sort(F.collect_list(F.struct("relation", "aspects")))
+    return per_relation.agg(F.sha2(F.to_json(whole), 256).alias("contract_sha256"), F.count("*").alias("relations"))
 
 
 def inventory_check(observed: DataFrame, expected: DataFrame) -> DataFrame:
@@ -71,13 +129,6 @@ def set_equal(observed: DataFrame, expected: DataFrame) -> DataFrame:
         "equal", (F.col("missing") == 0) & (F.col("unexpected") == 0))
 
 
-def column_rows(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
-    """(relation, ordinal, column, type) of one relation, from its schema only."""
-    rows = [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(
-        rows, "relation STRING, ordinal INT, column_name STRING, column_type STRING")
-
-
 def schema_drift(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """Ordered comparison of two column listings; empty when the schemas agree."""
     key = ["relation", "ordinal"]

@@ -61,6 +61,33 @@ def discovery_guard(pages: DataFrame, most_parents: int = MAX_PARENTS, most_page
         "error_code", error)
 
 
+def page_chains(pages: DataFrame, parent: list[str], most: int = MAX_PAGES) -> DataFrame:
+    """Per parent: pages, pages in the chain of tokens from the first one, and an error or null.
+
+    ``pages`` has token (null for the first page) and next_token (null for the last). The chain is
+    followed for all parents at once by doubling: after round k a page points 2^k pages on. It is an
+    error if a token comes twice, a chain does not end within ``most`` pages (so every loop is one), a
+    page is not in the chain, a token is empty, or there is no first page.
+    """
+    first = F.coalesce("token", F.lit(""))
+    bad = (F.col("token") == "") | (F.col("next_token") == "")
+    nodes = pages.select(*parent, first.alias("at"), F.col("next_token").alias("to"), F.coalesce(bad, F.lit(False)).alias("bad"))
+    facts = nodes.groupBy(*parent, "at").agg(F.count("*").alias("n"), F.min("to").alias("to"), F.bool_or("bad").alias("bad"))
+    hops = facts.select(*parent, "at", "to", F.lit(1).alias("length"))
+    for _ in range(max(1, (most - 1).bit_length())):
+        ahead = hops.select(*parent, F.col("at").alias("to"), F.col("to").alias("further"), F.col("length").alias("more"))
+        hops = hops.join(ahead, [*parent, "to"], "left").select(
+            *parent, "at", F.when(F.col("more").isNotNull(), F.col("further")).otherwise(F.col("to")).alias("to"),
+            (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"))
+    start = hops.filter("at = ''").select(*parent, "to", "length")
+    counts = facts.groupBy(*parent).agg(F.sum("n").alias("pages"), F.max("n").alias("copies"), F.bool_or("bad").alias("bad"))
+    whole = F.col("to").isNull() & (F.col("length") == F.col("pages")) & (F.col("length") <= most)
+    wrong = F.col("bad") | (F.col("copies") > 1) | ~F.coalesce(whole, F.lit(False))
+    return counts.join(start, parent, "left").select(
+        *parent, "pages", F.when(F.col("to").isNull(), F.col("length")).cast("bigint").alias("chain"),
+        F.when(wrong, "RECONCILIATION_PARENT_PAGINATION_INVALID").alias("error_code"))
+
+
 def attempt_contexts(ids: DataFrame, contexts: DataFrame, task_key: str) -> DataFrame:
     """Contexts of discovered tasks with the configured key, each with its verdict.
 

@@ -44,6 +44,27 @@ def _(t):
     return life.discovery_guard(life.lookback(t.job_run_pages, _at(DAY)))
 
 
+# pages of a parent: one per line of an order; some chains loop, some name a page that is not there, some are long
+_PAGES = """SELECT l_orderkey AS run_id, CASE WHEN n = 1 THEN NULL ELSE concat('p', CAST(n AS STRING)) END AS token,
+    CASE WHEN n < last THEN concat('p', CAST(n + 1 AS STRING)) WHEN l_orderkey % 9 = 2 AND last > 1 THEN 'p2'
+      WHEN l_orderkey % 11 = 3 THEN 'gone' WHEN l_orderkey % 13 = 4 THEN '' END AS next_token
+  FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n,
+    count(*) OVER (PARTITION BY l_orderkey) AS last FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d) x"""
+
+
+@query("rec_page_chain", None, f"""WITH RECURSIVE pages AS ({_PAGES}),
+walk AS (SELECT run_id, next_token, 1 AS length FROM pages WHERE token IS NULL
+  UNION ALL SELECT p.run_id, p.next_token, length + 1 FROM walk w JOIN pages p ON p.run_id = w.run_id
+    AND p.token = w.next_token WHERE length < 9),
+ends AS (SELECT run_id, max(length) AS chain FROM walk WHERE next_token IS NULL GROUP BY 1),
+counts AS (SELECT run_id, count(*) AS pages FROM pages GROUP BY 1)
+SELECT run_id, pages, CAST(chain AS BIGINT) AS chain, CASE WHEN chain IS NULL OR chain > 6
+    THEN 'RECONCILIATION_PARENT_PAGINATION_INVALID' END AS error_code FROM counts LEFT JOIN ends USING (run_id)""")
+def _(t):
+    pages = t.spark.sql(_PAGES.replace("FROM lineitem", "FROM {lines}"), lines=t.base("lineitem"))
+    return life.page_chains(pages, ["run_id"], 6)
+
+
 _CONTEXT = """CASE WHEN capture_state = 'PARTIAL' AND priority = '3-MEDIUM' THEN observed_job_run_id + 7
   ELSE observed_job_run_id END"""
 

@@ -34,6 +34,15 @@ resource_type STRING, status STRING, execution_time DOUBLE, failures BIGINT,
 normalized_digest STRING
 """
 
+MANIFEST_SCHEMA = """
+manifest_version STRING, object_contract_sha256 STRING, source_contract_sha256 STRING,
+expected_runtime_policy_sha256 STRING, base_observability_contract_sha256 STRING,
+installation_id STRING, workspace_id BIGINT, evidence_catalog STRING, evidence_schema STRING,
+warehouse_id STRING, observed_job_id BIGINT, collector_job_id BIGINT, reconciler_job_id BIGINT,
+observed_service_principal_name STRING, collector_service_principal_name STRING,
+job_manager_group_name STRING, collector_environment_sha256 STRING
+"""
+
 
 def fields(schema: str) -> list[tuple[str, str]]:
     """Column names and lower-case types of a DDL string, in order."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlumen.schemas import INVOCATION_SCHEMA, NODE_SCHEMA, REGISTRY_SCHEMA, fields
+from runlumen.schemas import INVOCATION_SCHEMA, MANIFEST_SCHEMA, NODE_SCHEMA, REGISTRY_SCHEMA, fields
 
 SCHEMAS = {"registry": REGISTRY_SCHEMA, "invocations": INVOCATION_SCHEMA,
-           "node_results": NODE_SCHEMA}
+           "node_results": NODE_SCHEMA, "object_manifest": MANIFEST_SCHEMA}
 
 
 def typed_rows(rows: DataFrame, table: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runlumen.functions.documents import json_depth
 from runlumen.operators import evidence as members_evidence
-from runlumen.operators import health, lifecycle, logs, pairs, publish, store
+from runlumen.operators import catalog, health, lifecycle, logs, pairs, publish, store
 from runlumen.plans.book import Tables
 from runlumen.schemas import POLICY, REGISTRY_COLUMNS
 from runlumen.sources import artifacts, evidence
@@ -257,3 +257,65 @@ def test_rules_on_the_row_itself_do_not_shuffle(tables):
         assert "Exchange" not in plan_of(members_evidence.breaking(members, codes))
     counts = plan_of(publish.child_readback(tables.registry, tables.invocations, tables.nodes))
     assert "CartesianProduct" not in counts
+
+
+def test_tables_are_created_once_and_verified(spark):
+    database = "contract_tables"
+    catalog.create_tables(spark, database, "v1", 2)
+    catalog.create_tables(spark, database, "v1", 2)
+    before = catalog.set_digest_of(catalog.described(spark, database, catalog.TABLE_NAMES)).first()
+    assert before["relations"] == 4
+    with pytest.raises(RuntimeError, match="contract.digest|property:CHANGED"):
+        catalog.create_tables(spark, database, "v2", 2)
+    spark.sql(f"ALTER TABLE {database}.invocations SET TBLPROPERTIES ('other'='x')")
+    spark.sql(f"ALTER TABLE {database}.node_results ADD COLUMNS (more STRING)")
+    with pytest.raises(RuntimeError, match="invocations.property:EXTRA, node_results.column:EXTRA"):
+        catalog.create_tables(spark, database, "v1", 2)
+    after = catalog.set_digest_of(catalog.described(spark, database, catalog.TABLE_NAMES)).first()
+    assert after["contract_sha256"] != before["contract_sha256"]
+    spark.sql(f"DROP TABLE {database}.object_manifest")
+    with pytest.raises(RuntimeError, match="PARTIAL_SCHEMA_STATE"):
+        catalog.create_tables(spark, database, "v1", 2)
+
+
+def test_drift_names_each_kind(spark):
+    spark.sql("CREATE DATABASE described_views")
+    spark.sql("CREATE TABLE described_views.t (a BIGINT, b STRING) USING parquet TBLPROPERTIES ('role'='x')")
+
+    def view(text):
+        spark.sql(f"CREATE OR REPLACE VIEW described_views.v AS {text}")
+        return catalog.described(spark, "described_views", ["t", "v"])
+
+    expected = spark.createDataFrame(
+        view("SELECT a FROM described_views.t WHERE b = 'X  y'").collect(), catalog.ASPECTS)
+
+    def kinds(observed):
+        return {(r["relation"], r["aspect"], r["drift"]) for r in catalog.drift(observed, expected).collect()}
+
+    digest = catalog.set_digest_of(expected).first()["contract_sha256"]
+    same = view("select  a from described_views.t\nwhere b = 'X  y'")
+    assert kinds(same) == set() and catalog.set_digest_of(same).first()["contract_sha256"] == digest
+    other = view("SELECT a FROM described_views.t WHERE b = 'x  y'")
+    assert kinds(other) == {("v", "view_text", "CHANGED")}
+    assert catalog.set_digest_of(other).first()["contract_sha256"] != digest
+    view("SELECT a FROM described_views.t WHERE b = 'X  y'")
+    changes = {"property": F.col("name") == "role", "column": F.col("name") == "0001", "provider": F.lit(True)}
+    for aspect, where in changes.items():
+        hit = (F.col("relation") == "t") & (F.col("aspect") == aspect) & where
+        assert kinds(expected.filter(~hit)) == {("t", aspect, "MISSING")}
+        assert kinds(expected.withColumn("value", F.when(hit, "other").otherwise(F.col("value")))) == {
+            ("t", aspect, "CHANGED")}
+
+
+def test_page_chains(spark):
+    parents = {
+        "one": [(None, None)], "three": [(None, "a"), ("a", "b"), ("b", None)], "loop": [(None, "a"), ("a", "b"), ("b", "a")],
+        "self": [(None, "a"), ("a", "a")], "twice": [(None, "a"), ("a", None), ("a", None)], "gone": [(None, "a")],
+        "apart": [(None, None), ("x", "y"), ("y", "x")], "empty": [(None, "")], "headless": [("a", None)],
+        "long": [(None, "1"), *((str(i), str(i + 1)) for i in range(1, 11)), ("11", None)],
+        "ten": [(None, "1"), *((str(i), str(i + 1)) for i in range(1, 9)), ("9", None)],
+    }
+    rows = [(p, *page) for p, own in parents.items() for page in own]
+    df = spark.createDataFrame(rows, "parent string, token string, next_token string")
+    found = {r["parent"]: r["error_code"] is None for r in lifecycle.page_chains(df, ["parent"]).collect()}
+    assert {p for p, fine in found.items() if fine} == {"one", "three", "ten"} and set(found) == set(parents)
