@@ -8,9 +8,9 @@ of a forward and a backward LSTM over the whole page, so each block is classifie
 view. Kept blocks are joined in page order by one newline.
 
 There are no labels to learn from. Examples are up to ``SAMPLE`` pages of at most ``MOST`` bytes each,
-taken by a hash of the page (hashes are ranked first, then these pages fetched), with marks from the names of their elements (fixed lists below), and as
-many layouts made up from the blocks of these pages and invented words, whose article is known. Elements
-there are named in many ways or not at all, articles hold adverts, and comments read like articles.
+taken by a hash of the page (hashes are ranked first, then these pages fetched), with marks from the names of their
+elements (fixed lists below), and 1,000 layouts made up from the blocks of these pages and invented words,
+whose article is known. Elements there are named in many ways or not at all, articles hold adverts, and comments read like articles.
 Numpy fits the model on the driver (about 1 MB, carried to the tasks); all pages are read in tasks.
 
 Defined results for odd input: a null or empty page, or one without an article, gives the empty text;
@@ -488,7 +488,7 @@ def layouts(texts: list[str], number: int, seed: int = 0) -> list[tuple[str, np.
 
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, most: int = MOST, made_up: int = 1000,
           epochs: int = EPOCHS) -> Labeller:
-    """A labeller fitted on a bounded sample of pages and as many layouts; see the head of the module."""
+    """A labeller fitted on a bounded sample of pages and ``made_up`` layouts; see the head of the module."""
     short = (pages.select(F.col(html).alias("html")).filter(F.octet_length("html").between(1, most))
              .withColumn("hash", F.xxhash64("html")))
     wanted = [r["hash"] for r in short.select("hash").distinct().orderBy("hash").limit(sample).collect()]
