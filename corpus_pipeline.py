@@ -25,28 +25,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group alike in 5-word shingles (80 % or more).
 
-    Of rows with one doc_id and one text one stays. A row whose doc_id also stands at another text is
-    compared by its own text, under a number made from both, and goes only if that text is in a group.
-    Rows without a doc_id are in no group and stay.
+    Rows are compared by their own texts, under numbers made from id and text, so of a doc_id that
+    stands at several texts only those go that are in a group. Of rows with one doc_id and one text one
+    stays. Rows without a doc_id are in no group and stay.
     """
     # a row's own columns travel as one, so none of them can meet a name used here
+    number = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
     content = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
-    known = docs.filter(F.col("doc_id").isNotNull()).select(
-        F.struct(*docs.columns).alias("own"), "doc_id", "text", F.xxhash64("text").alias("hash"), content.alias("content"))
-    several = known.groupBy(F.col("doc_id").alias("several")).agg(
-        F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least <> most").drop("most")
-    other = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "hash"), 3)
-    number = F.when(F.col("hash") != F.col("least"), other).otherwise(F.col("doc_id").cast("long"))
-    numbered = known.join(several, F.col("doc_id") == F.col("several"), "left").select(
-        number.alias("number"), "own", "text", "content")
-    groups = jaccard.join(numbered.select(F.col("number").alias("doc_id"), "text"), n=5, percent=80)
-    later = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("number")).distinct()
-    kept = numbered.join(later, "number", "left_anti").select("number", "own", "content")
+    known = docs.filter(F.col("doc_id").isNotNull())
+    placed = jaccard.join(known.select(number.alias("doc_id"), "text"), n=5, percent=80).select(
+        F.col("doc_id").alias("number"), F.col("component_id").alias("component")).distinct()
+    counted = known.select("doc_id", number.alias("number")).groupBy("doc_id", "number").count()
+    members = counted.join(placed, "number")
+    first = members.groupBy("component").agg(
+        F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("members")).filter("members > 1")
+    own = F.struct(F.col("doc_id"), F.col("number"))
+    later = members.join(first, "component").filter(own != F.col("first")).select("doc_id", "number")
+    told = later.select("doc_id", "number", F.lit(True).alias("goes")).unionByName(
+        counted.filter("count > 1").select("doc_id", "number", F.lit(False).alias("goes")))
+    told = told.groupBy(F.col("doc_id").alias("told_id"), F.col("number").alias("told")).agg(F.bool_or("goes").alias("goes"))
+    marked = known.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").alias("id"), number.alias("number"),
+                          content.alias("content")).join(
+        told, (F.col("id") == F.col("told_id")) & (F.col("number") == F.col("told")), "left")
+    single = marked.filter("goes is null").select("own.*")
     # of rows of one id and text the least by their columns
-    again = kept.groupBy(F.col("number").alias("again")).count().filter("count > 1").select("again")
-    marked = kept.join(again, F.col("number") == F.col("again"), "left")
-    one = marked.filter("again is not null").groupBy("again").agg(F.min_by("own", "content").alias("own"))
-    single = marked.filter("again is null").select("own.*")
+    one = marked.filter("not goes").groupBy("id", "number").agg(F.min_by("own", "content").alias("own"))
     return single.union(one.select("own.*")).union(docs.filter(F.col("doc_id").isNull()))
 
 
