@@ -16,7 +16,7 @@ NAMES = ["view_run_health", "view_node_health", "top_trend", "agg_status_counts"
 
 def test_registry_is_complete():
     queries, sqls = entry.queries(), entry.oracle_sql()
-    assert len([n for n in queries if n in book.QUERIES]) == len(book.QUERIES) == 155
+    assert len([n for n in queries if n in book.QUERIES]) == len(book.QUERIES) == 157
     assert set(sqls) <= set(queries)
 
 
