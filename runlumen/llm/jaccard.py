@@ -124,19 +124,22 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> Iterato
         yield mix64(sums + mix64(name))[keep], row[keep]
 
 
-def overlap_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def overlap_links(sets: list[np.ndarray], percent: int, whole: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the components of alike sets; T-occurrence search by DivideSkip.
 
+    ``whole`` gives the sizes of the sets where ``sets`` leaves out elements that no other set has.
+
     Sets are searched one by one against all others, sets outside the largest component first, until
     all sets not yet searched lie in one component.
     """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
+    given = np.array([len(s) for s in sets])
+    sizes = given if whole is None else whole
     tokens, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), given)
     order = np.argsort(codes, kind="stable")
     lists, first = owner[order], np.searchsorted(codes[order], np.arange(len(tokens) + 1))
-    own = np.split(codes, np.cumsum(sizes)[:-1])
+    own = np.split(codes, np.cumsum(given)[:-1])
     label, members = np.arange(n), {i: [i] for i in range(n)}
     waiting = dict.fromkeys(range(n))
     alive: dict[int, int] = dict.fromkeys(range(n), 1)  # sets of each component still to be searched
@@ -167,7 +170,9 @@ def _occurrences(query: np.ndarray, q: int, lists: np.ndarray, first: np.ndarray
                  percent: int) -> np.ndarray:
     """Other sets alike to a query set."""
     lengths = first[query + 1] - first[query]
-    needed = -(-percent * len(query) // 100)  # an alike set shares at least that many elements
+    needed = -(-percent * int(sizes[q]) // 100)  # an alike set shares at least that many elements
+    if len(query) < needed:
+        return np.zeros(0, np.int64)
     longest = int(lengths.max())
     long = min(needed - 1, int(needed / (0.01 * np.log2(longest + 1) + 1)))
     by_length = query[np.argsort(lengths, kind="stable")]
@@ -177,7 +182,7 @@ def _occurrences(query: np.ndarray, q: int, lists: np.ndarray, first: np.ndarray
     starts = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
     count, at = np.diff(np.append(starts, len(merged))), merged[starts]
     near = (count >= needed - long) & (at != q) & (
-        sizes[at] * 100 >= percent * len(query)) & (sizes[at] * percent <= 100 * len(query))
+        sizes[at] * 100 >= percent * sizes[q]) & (sizes[at] * percent <= 100 * sizes[q])
     at, count = at[near], count[near]
     for i, t in enumerate(rest):
         if not len(at):
@@ -187,7 +192,7 @@ def _occurrences(query: np.ndarray, q: int, lists: np.ndarray, first: np.ndarray
         count = count + (run[np.minimum(spot, len(run) - 1)] == at)
         still = count + (len(rest) - 1 - i) >= needed
         at, count = at[still], count[still]
-    return at[100 * count >= percent * (len(query) + sizes[at] - count)]
+    return at[100 * count >= percent * (sizes[q] + sizes[at] - count)]
 
 
 def _extract(n: int, percent: int):
