@@ -87,12 +87,16 @@ def _count(spread: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, marks = [np.zeros(0, np.uint64)], [_NONE], [_NONE]
         for batch in batches:
-            posted, marked = _of_kind(batch, POST), _of_kind(batch, MARK)
-            keys.append(_column(posted, "x").view(np.uint64))
-            sets.append(_column(posted, "docs"))
-            marks.append(_column(marked, "docs"))
+            for at, kind in enumerate(batch["kind"].to_pylist()):  # a packed row after the other, no copy of a batch
+                row = batch.slice(at, 1)
+                if kind == POST:
+                    keys.append(_column(row, "x").view(np.uint64))
+                    sets.append(_column(row, "docs"))
+                elif kind == MARK:
+                    marks.append(_column(row, "docs"))
             yield batch.filter(pa.array(np.asarray(batch["kind"]) > MARK))
-        keys, sets, _, sizes = groups(np.concatenate(keys), np.concatenate(sets))
+        keys, sets = np.concatenate(keys), np.concatenate(sets)
+        keys, sets, _, sizes = groups(keys, sets)
         known = np.repeat(sizes, sizes)
         known[np.isin(keys.view(np.int64), np.concatenate(marks))] = _LAST
         several = known > 1
@@ -183,11 +187,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) ->
     sets are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
-    spread = partitions(spark)
+    spread = 2 * partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(_deal(n, spread), _PACKED)
-    counted = packed.repartition(spread, "bucket").mapInArrow(_count(spread), _PACKED)
-    rows = stage(counted.repartition(spread, "bucket").mapInArrow(_collect(percent), _OUT), "sets")
+    # a bucket is a partition of its own, so none holds several by chance
+    bucket = F.col("bucket")
+    counted = packed.repartitionById(spread, bucket).mapInArrow(_count(spread), _PACKED)
+    rows = stage(counted.repartitionById(spread, bucket).mapInArrow(_collect(percent), _OUT), "sets")
     info = rows.filter(F.col("kind") == INFO).select("doc", "set", "n")
     sets = rows.filter(F.col("kind") == SIZE).select("set", "n", "posted", "items")
     met = meetings(sets.select("set", "posted"), _posted, LINK)
@@ -202,7 +208,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) ->
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != own))
     dealt = members.withColumn("other", F.explode(others)).select(
         "grp", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "set", "n", "items")
-    dealt = dealt.repartition(spread, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    dealt = dealt.repartition(partitions(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     found = dealt.mapInArrow(_search(percent), "a long, b long")
     # the texts of one document hang together
     filled = info.filter("n > 0")
