@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from runlumen.llm.common import partitions, pieces
 from runlumen.llm.components import components
 from runlumen.llm.jaccard import BLOCK, CHUNK, _sizes, digests, overlap_links, shingles
-from runlumen.llm.postings import _PACKED, GATHERED, LINK, _pack, groups, meetings
+from runlumen.llm.postings import _PACKED, LINK, _pack, groups, meetings
 from runlumen.session import stage
 
-#: Sets of one task from which a shingle of it is hot.
+#: Shingles a task gathers before it deals them out.
+GATHERED = 1_500_000
+#: Sets among those gathered from which a shingle of them is hot.
 HOT = 32
 #: Kinds of packed rows: a shingle's set, the mark of a hot shingle, a set's shared shingle, a set's size, a document.
 POST, MARK, SHARED, SIZE, INFO = 1, 2, 3, 4, 5
