@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlumen.llm import decontaminate, jaccard, mixing, quality, sharding
+from runlumen.llm import decontaminate, mixing, quality, rare, sharding
 from runlumen.llm.common import fresh, table
 from runlumen.session import stage
 
@@ -33,7 +33,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     number = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
     content = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
     known = docs.filter(F.col("doc_id").isNotNull())
-    placed = jaccard.join(known.select(number.alias("doc_id"), "text"), n=5, percent=80).select(
+    placed = rare.join(known.select(number.alias("doc_id"), "text"), n=5, percent=80).select(
         F.col("doc_id").alias("number"), F.col("component_id").alias("component")).distinct()
     counted = known.select("doc_id", number.alias("number")).groupBy("doc_id", "number").count()
     members = counted.join(placed, "number")
