@@ -17,8 +17,9 @@ from runlumen.llm.common import partitions
 
 #: Keys a task gathers before it deals them out.
 GATHERED = 3_000_000
-LINK, KEY, POSTED = 1, 2, 3
-#: What comes out: kind LINK: doc, x = smallest document met; kind KEY: doc, key x; other kinds as given.
+LINK, KEY, POSTED, HOT = 1, 2, 3, 4
+#: What comes out: kind LINK: doc, x = smallest document met; kind KEY: doc, key x; kind HOT: key x, its
+#: documents y, doc a number of the partition; other kinds as given.
 SCHEMA = "kind int, doc long, x long, y long, z long"
 _PACKED = "bucket int, kind int, docs array<long>, x array<long>, y array<long>, z array<long>"
 
@@ -38,8 +39,8 @@ def groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, docs, starts, np.diff(np.append(starts, len(keys)))
 
 
-def met(keys: np.ndarray, docs: np.ndarray, want: int) -> tuple[Rows, np.ndarray, np.ndarray]:
-    """Rows for keys of several documents; the keys and the smallest document of each."""
+def met(keys: np.ndarray, docs: np.ndarray, want: int) -> tuple[Rows, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows for keys of several documents; the keys, the smallest document and the documents of each."""
     keys, docs, starts, sizes = groups(keys, docs)
     several = np.repeat(sizes > 1, sizes)
     none = np.zeros(0, np.int64)
@@ -49,7 +50,7 @@ def met(keys: np.ndarray, docs: np.ndarray, want: int) -> tuple[Rows, np.ndarray
         pairs = np.stack([docs[several], np.repeat(docs[starts], sizes)[several]])
         pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
         rows = (LINK, pairs[0], pairs[1], none, none)
-    return rows, keys[starts], docs[starts]
+    return rows, keys[starts], docs[starts], sizes
 
 
 def _pack(buckets: np.ndarray, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -76,22 +77,24 @@ def _flat(rows: Rows) -> pa.RecordBatch:
 
 
 def meetings(source: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]],
-             want: int) -> DataFrame:
+             want: int, hot: int | None = None) -> DataFrame:
     """Meet the keys that ``extract`` yields from the batches of ``source``.
 
     ``extract`` yields (keys uint64, docs int64, other rows or None); other rows (kind, docs, x, y, z)
     come out unchanged. ``want``: LINK for (doc, smallest document of a key it holds), KEY for (doc,
-    key). LINK rows may repeat across buckets; what they connect is connected through shared keys.
+    key). LINK rows may repeat across buckets; what they connect is connected through shared keys. With
+    ``hot`` keys of so many documents come out once more as HOT; their documents are counted in each
+    flush of a task and the counts added up.
     """
     spread = 4 * partitions(source.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
-            rows, keys, docs = met(np.concatenate(key_parts), np.concatenate(doc_parts), want)
+            rows, keys, docs, sizes = met(np.concatenate(key_parts), np.concatenate(doc_parts), want)
             yield _pack(rows[1] % spread, rows[0], list(rows[1:]))
             none = np.zeros(0, np.int64)
             yield _pack((keys % np.uint64(spread)).astype(np.int64), POSTED,
-                        [docs, keys.view(np.int64), none, none])
+                        [docs, keys.view(np.int64), none if hot is None else sizes, none])
 
         key_parts, doc_parts, gathered = [], [], 0
         for keys, docs, other in extract(batches):
@@ -107,12 +110,13 @@ def meetings(source: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]], It
             yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_parts, doc_parts = [], []
+        key_parts, doc_parts, counts = [], [], []
         for batch in batches:
             posted = np.asarray(batch["kind"]) == POSTED
             own = batch.filter(pa.array(posted))
             key_parts.append(np.array(own["x"].flatten(), np.int64).view(np.uint64))
             doc_parts.append(np.array(own["docs"].flatten(), np.int64))
+            counts.append(np.array(own["y"].flatten(), np.int64))
             for kind in np.unique(np.asarray(batch["kind"])[~posted]):
                 part = batch.filter(pa.array(np.asarray(batch["kind"]) == kind))
                 docs = part["docs"].flatten()
@@ -122,7 +126,15 @@ def meetings(source: DataFrame, extract: Callable[[Iterator[pa.RecordBatch]], It
                     [pa.array(np.full(len(docs), kind), pa.int32()), docs, *full],
                     ["kind", "doc", "x", "y", "z"])
         if key_parts:
-            rows, _, _ = met(np.concatenate(key_parts), np.concatenate(doc_parts), want)
+            keys = np.concatenate(key_parts)
+            if hot is not None and len(keys):
+                order = np.argsort(keys)
+                starts = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+                total = np.add.reduceat(np.concatenate(counts)[order], starts)
+                often = total >= hot
+                names = keys[order][starts][often].view(np.int64)
+                yield _flat((HOT, names % spread, names, total[often], np.zeros(0, np.int64)))
+            rows = met(keys, np.concatenate(doc_parts), want)[0]
             for start in range(0, len(rows[1]), 50_000):
                 yield _flat((rows[0], *[c[start:start + 50_000] for c in rows[1:]]))
 

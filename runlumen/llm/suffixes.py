@@ -12,9 +12,13 @@ Equal stretches of several documents are collapsed before they travel and again
 ones follow the fate of the first. They are told apart by a 64-bit hash, as are k-mers. Equal whole texts
 are collapsed likewise: only the first is cut into stretches, and of later ones every byte is matched.
 
-A k-mer that very many documents hold would bring all its stretches to one task. Windows of such hot
-k-mers do not travel as stretches but one by one, by a 64-bit hash of the whole window: a task settles
-its own and sends on only those of its smallest document, and the smallest document of all is joined.
+A k-mer whose stretches are all equal has no other windows to compare, so only k-mers with two or more
+different stretches are sorted.
+
+A k-mer that very many documents hold would bring all its stretches to one task. Its documents are
+counted where k-mers meet. Windows of such hot k-mers do not travel as stretches but one by one, by a
+64-bit hash of the whole window: a task settles its own and sends on only those of its smallest
+document, and the smallest document of all is found where the window's hash is dealt to.
 """
 
 from __future__ import annotations
@@ -28,28 +32,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlumen.llm.common import partitions, pieces
-from runlumen.llm.postings import KEY, meetings
-from runlumen.llm.vectors import prefix_hash, span_hash, text_bytes
+from runlumen.llm.postings import HOT, KEY, meetings
+from runlumen.llm.vectors import mix64, prefix_hash, span_hash, text_bytes
 from runlumen.session import stage
 
 #: Bytes of a k-mer and of text in work at once.
-KMER, CHUNK = 20, 4 << 20
+KMER, CHUNK = 20, 2 << 20
 #: Buckets of stretches for each partition, which bound what is sorted at once.
 BUCKETS = 8
-#: Documents from which on a k-mer is hot, entries of a key in a task that are worth a report, and keys,
-#: windows or spans that a task gathers.
-HOT, REPORTED, GATHERED = 20_000, 16, 3_000_000
+#: Documents from which on a k-mer is hot, hot k-mers that tasks are told of (8 MB; of more the most
+#: frequent ones, and the others travel as stretches), and windows or spans that a task gathers.
+OFTEN, TOLD, GATHERED = 20_000, 1_000_000, 1_000_000
 #: Packed stretches: of each its document, the row, its place, its length; all their bytes
-#: in one, compressed.
+#: in one, compressed. Sizes below 0: spans that are covered already. Sizes 0: windows of hot k-mers, with
+#: their hashes in place of the bytes.
 _STRETCH = "bucket int, docs array<long>, rows array<long>, at array<int>, sizes array<int>, text binary"
+_PACKED = "bucket int, docs array<long>, rows array<long>, starts array<int>, ends array<int>"
 _COVER = "doc long, row long, starts array<int>, ends array<int>"
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def kmer_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hash of the 20 bytes at each place, from two words of eight bytes and one of four."""
+    n = len(data) - KMER + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    raw = np.ascontiguousarray(data)
+    low, middle = (np.ndarray(n, "<u8", raw, at, (1,)) for at in (0, 8))
+    total = low * _ODD[0]
+    total ^= total >> np.uint64(29)
+    total += middle
+    total *= _ODD[1]
+    total ^= total >> np.uint64(32)
+    total += np.ndarray(n, "<u4", raw, 16, (1,))
+    total *= _ODD[2]
+    return mix64(total)
 
 
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
     """Smallest k-mer hash in the window of ``length`` bytes at each place."""
     wide = length - KMER + 1
-    at = np.arange(max(0, len(data) - KMER + 1))
-    low = span_hash(prefix_hash(data), at, at + KMER)
+    low = kmer_hashes(data)
     span = 1
     while 2 * span <= wide:
         low = np.minimum(low[:-span], low[span:]) if len(low) > span else low[:0]
@@ -61,14 +84,21 @@ def window_keys(data: np.ndarray, length: int) -> np.ndarray:
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(key, row, first, last) of the runs of windows with one key, none across rows."""
     keys = window_keys(data, length)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(keys)]
-    at = np.flatnonzero(np.arange(len(keys)) + length <= offsets[row + 1])
-    keys, row = keys[at], row[at]
+    if not len(keys):
+        none = np.zeros(0, np.int64)
+        return keys, none, none, none
     fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+    # a run ends with its row, and where windows no longer fit into it
+    over = np.maximum(offsets[1:] - length + 1, offsets[:-1])
+    edges = np.concatenate([offsets[:-1], over])
+    fresh[edges[edges < len(keys)]] = True
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(keys)) - 1
-    return keys[first], row[first], at[first], at[last]
+    row = np.searchsorted(offsets, first, "right") - 1
+    fits = first + length <= offsets[row + 1]
+    first, last, row = first[fits], last[fits], row[fits]
+    return keys[first], row, first, last
 
 
 def _extract(length: int):
@@ -79,84 +109,14 @@ def _extract(length: int):
     return run
 
 
-def hot_keys(known: DataFrame, length: int, hot: int, reported: int) -> np.ndarray:
-    """Keys of about ``hot`` documents or more, sorted.
+def hot_keys(found: DataFrame, told: int = TOLD) -> np.ndarray:
+    """Keys that ``meetings`` found hot, sorted; if more than ``told`` those of most documents.
 
-    Tasks report a key when ``reported`` of the documents they gather hold it; a key that stays below
-    that in every task is taken as not hot. Only the way of the work depends on this, no result.
+    Only the way of the work depends on this, no result.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(gathered), return_counts=True)
-            often = n >= reported
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys[often].view(np.int64)), pa.array(n[often], pa.int64())], ["key", "n"])
-
-        gathered, size = [], 0
-        for keys, docs, _ in _extract(length)(batches):
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            fresh = np.ones(len(keys), bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-            gathered.append(keys[fresh])
-            size += len(gathered[-1])
-            if size >= GATHERED:
-                yield flush()
-                gathered, size = [], 0
-        if size:
-            yield flush()
-
-    often = known.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = often.filter(F.col("n") >= hot).toArrow()["key"]  # at most one for every ``hot`` entries
-    return np.sort(found.to_numpy().view(np.uint64))
-
-
-def _hot_windows(length: int, hot: np.ndarray):
-    """Windows of hot keys: those of the smallest document of a task, and as settled all later ones."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            names, docs, rows, at = (np.concatenate(c) for c in zip(*gathered, strict=True))
-            order, _, lead = _first_of(names, docs)
-            names, docs, rows, at = names[order], docs[order], rows[order], at[order]
-            settled = docs > docs[lead]
-            for start in range(0, len(names), 50_000):
-                part = slice(start, start + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[part].view(np.int64)), pa.array(docs[part]), pa.array(rows[part]),
-                     pa.array(at[part], pa.int32()), pa.array(settled[part])],
-                    ["name", "doc", "row", "place", "settled"])
-
-        gathered, size = [], 0
-        for batch in pieces(batches, "text", CHUNK):
-            data, offsets = text_bytes(batch["text"])
-            keys, row, first, last = _runs(data, offsets, length)
-            use = np.isin(keys, hot)
-            if not use.any():
-                continue
-            counts = (last - first + 1)[use]
-            at, row = _spread(first[use], counts), np.repeat(row[use], counts)
-            gathered.append((span_hash(prefix_hash(data), at, at + length), np.asarray(batch["doc_id"])[row],
-                             np.asarray(batch["row"])[row], at - offsets[row]))
-            size += len(at)
-            if size >= GATHERED:
-                yield from flush()
-                gathered, size = [], 0
-        if size:
-            yield from flush()
-    return run
-
-
-def _hot_covers(known: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """Spans that windows of hot keys cover, by document."""
-    found = stage(known.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(
-        _hot_windows(length, hot), "name long, doc long, row long, place int, settled boolean"), "hot-windows")
-    sent = found.filter("not settled")
-    firsts = sent.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).filter(
-        "first < other").drop("other")
-    later = sent.join(firsts.hint("merge"), "name").filter("doc > first")
-    spots = later.select("doc", "row", "place").union(found.filter("settled").select("doc", "row", "place"))
-    return spots.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("starts")).withColumn(
-        "ends", F.transform("starts", lambda x: x + F.lit(length)))
+    hot = found.filter(F.col("kind") == HOT)
+    top = hot.orderBy(F.col("y").desc(), "x").limit(told).toArrow()["x"]
+    return np.sort(top.to_numpy().view(np.uint64))
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +135,8 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def _cover_rows(doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    """Spans merged per (doc, row), as lists."""
+def _merged(doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, row, start, end) of spans merged per (doc, row), in this order."""
     order = np.lexsort((row, doc))
     doc, row, starts, ends = doc[order], row[order], starts[order], ends[order]
     new = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) if len(doc) else np.zeros(0, bool)
@@ -184,12 +144,50 @@ def _cover_rows(doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.n
     stride = int(ends.max()) + 2 if len(ends) else 1
     a, b = merge(starts + group * stride, ends + group * stride)
     base = a // stride
-    bounds = pa.array(np.searchsorted(base, np.arange(new.sum() + 1)), pa.int32())
+    return doc[new][base], row[new][base], a - base * stride, b - base * stride
+
+
+def _pack_covers(spread: int, *found: np.ndarray) -> pa.RecordBatch:
+    """Spans merged per (doc, row), one row for each bucket of documents."""
+    doc, row, starts, ends = _merged(*found)
+    bucket = (mix64(doc.view(np.uint64)) % np.uint64(spread)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    bounds = pa.array(np.append(cut, len(bucket)), pa.int32())
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(c[order], t)) for c, t in (
+        (doc, pa.int64()), (row, pa.int64()), (starts, pa.int32()), (ends, pa.int32()))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[new]), pa.array(row[new]),
-         pa.ListArray.from_arrays(bounds, pa.array(a - base * stride, pa.int32())),
-         pa.ListArray.from_arrays(bounds, pa.array(b - base * stride, pa.int32()))],
-        ["doc", "row", "starts", "ends"])
+        [pa.array(bucket[cut], pa.int32()), *lists], ["bucket", "docs", "rows", "starts", "ends"])
+
+
+def _unpack_covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per (doc, row) with its spans; rows come by bucket, and one bucket is held at a time."""
+    def close() -> Iterator[pa.RecordBatch]:
+        doc, row, starts, ends = _merged(*(np.concatenate(c) for c in zip(*own, strict=True)))
+        new = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
+        first = np.flatnonzero(new)
+        for at in range(0, len(first), 5_000):
+            heads = first[at:at + 5_000]
+            end = first[at + 5_000] if at + 5_000 < len(first) else len(doc)
+            bounds = pa.array(np.append(heads, end) - heads[0], pa.int32())
+            part = slice(heads[0], end)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[heads]), pa.array(row[heads]),
+                 pa.ListArray.from_arrays(bounds, pa.array(starts[part], pa.int32())),
+                 pa.ListArray.from_arrays(bounds, pa.array(ends[part], pa.int32()))],
+                ["doc", "row", "starts", "ends"])
+
+    own, current = [], None
+    for batch in batches:
+        for i, bucket in enumerate(batch["bucket"].to_pylist()):
+            if bucket != current:
+                if own:
+                    yield from close()
+                own, current = [], bucket
+            own.append([np.array(batch[c][i].values, np.int64) for c in ("docs", "rows", "starts", "ends")])
+    if own:
+        yield from close()
 
 
 def _first_of(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,54 +198,86 @@ def _first_of(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, starts, np.repeat(starts, np.diff(np.append(starts, len(names))))
 
 
+def _packed(bucket: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, sizes: np.ndarray,
+            body: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket, of entries in order of buckets; ``body`` up to ``reach`` is that of each entry."""
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    bounds = np.append(cut, len(bucket))
+    ends = np.append(0, reach)[bounds]
+    body = body.tobytes()
+    lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(c, t)) for c, t in (
+        (doc, pa.int64()), (row, pa.int64()), (at, pa.int32()), (sizes, pa.int32()))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut], pa.int32()), *lists,
+         pa.array([pa.compress(body[x:y], "zstd", asbytes=True) for x, y in zip(ends, ends[1:], strict=False)],
+                  pa.binary())],
+        ["bucket", "docs", "rows", "at", "sizes", "text"])
+
+
+def _covered(doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, spread: int) -> pa.RecordBatch:
+    """Spans that are covered already, merged, by bucket."""
+    doc, row, starts, ends = _merged(doc, row, starts, ends)
+    bucket = doc % spread
+    order = np.argsort(bucket, kind="stable")
+    return _packed(bucket[order], doc[order], row[order], starts[order], (starts - ends)[order],
+                   np.zeros(0, np.uint8), np.zeros(len(order), np.int64))
+
+
 def _stretches(length: int, spread: int, hot: np.ndarray):
-    """Stretches of marked windows by bucket; what copies in a chunk cover comes as sizes 0."""
+    """Stretches of marked windows and windows of hot keys, by bucket.
+
+    What copies in a chunk cover, and hot windows of later documents of a task, come as covered spans.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, docs, rows, at = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            order, _, lead = _first_of(names, docs)
+            names, docs, rows, at = names[order], docs[order], rows[order], at[order]
+            later = docs > docs[lead]
+            yield _covered(docs[later], rows[later], at[later], at[later] + length, spread)
+            names, docs, rows, at = names[~later], docs[~later], rows[~later], at[~later]
+            bucket = (names % np.uint64(spread)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            yield _packed(bucket[order], docs[order], rows[order], at[order], np.zeros(len(order), np.int64),
+                          names[order].view(np.uint8), np.arange(8, 8 * len(order) + 1, 8))
+
+        gathered, size = [], 0
         for batch in pieces(batches, "text", CHUNK):
             data, offsets = text_bytes(batch["text"])
             docs, rows = np.asarray(batch["doc_id"]), np.asarray(batch["row"])
             # a marked key is marked for every document
             marked = np.unique(np.array(batch["keys"].flatten(), np.int64).view(np.uint64))
-            marked = marked[~np.isin(marked, hot)]
             keys, row, first, last = _runs(data, offsets, length)
             if not len(marked) or not len(keys):
                 continue
             hit = marked[np.minimum(np.searchsorted(marked, keys), len(marked) - 1)] == keys
-            keys, row, first, end = keys[hit], row[hit], first[hit], last[hit] + length
-            doc = docs[row]
-            order, _, lead = _first_of(span_hash(prefix_hash(data), first, end), doc)
+            keys, row, first, last = keys[hit], row[hit], first[hit], last[hit]
+            sums = prefix_hash(data)
+            if len(hot):
+                often = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+                counts = (last - first + 1)[often]
+                at, of = _spread(first[often], counts), np.repeat(row[often], counts)
+                gathered.append((span_hash(sums, at, at + length), docs[of], rows[of], at - offsets[of]))
+                size += len(at)
+                if size >= GATHERED:
+                    yield from flush()
+                    gathered, size = [], 0
+                keys, row, first, last = keys[~often], row[~often], first[~often], last[~often]
+            end, doc, place = last + length, docs[row], first - offsets[row]
+            order, _, lead = _first_of(span_hash(sums, first, end), doc)
             copy = np.empty(len(order), bool)
             copy[order] = doc[order] > doc[order][lead]
             own = np.flatnonzero(~copy)
             bucket = (keys[own] % np.uint64(spread)).astype(np.int64)
-            own = own[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
+            order = np.argsort(bucket, kind="stable")
+            own, bucket = own[order], bucket[order]
             sizes = (end - first)[own]
-            text = data[_spread(first[own], sizes)].tobytes()
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(own) else np.zeros(0, np.int64)
-            bounds = np.append(cut, len(own))
-            reach = np.concatenate([[0], np.cumsum(sizes)])[bounds]
-            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(c, t)) for c, t in (
-                (doc[own], pa.int64()), (rows[row[own]], pa.int64()),
-                ((first - offsets[row])[own], pa.int32()), (sizes, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cut], pa.int32()), *lists,
-                 pa.array([pa.compress(text[x:y], "zstd", asbytes=True) for x, y in zip(
-                     reach, reach[1:], strict=False)], pa.binary())],
-                ["bucket", "docs", "rows", "at", "sizes", "text"])
+            yield _packed(bucket, doc[own], rows[row[own]], place[own], sizes, data[_spread(first[own], sizes)],
+                          np.cumsum(sizes))
             if copy.any():
-                found = _cover_rows(doc[copy], rows[row[copy]], (first - offsets[row])[copy], (end - offsets[row])[copy])
-                n = np.asarray(pa.compute.list_value_length(found["starts"]))
-                starts, ends = (np.array(found[c].flatten(), np.int64) for c in ("starts", "ends"))
-                # negative sizes: spans that are covered already
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(found["doc"]) % spread, pa.int32()),
-                     *[pa.ListArray.from_arrays(found["starts"].offsets, pa.array(c, t)) for c, t in (
-                         (np.repeat(np.asarray(found["doc"]), n), pa.int64()),
-                         (np.repeat(np.asarray(found["row"]), n), pa.int64()),
-                         (starts, pa.int32()), (starts - ends, pa.int32()))],
-                     pa.array([b""] * len(found), pa.binary())],
-                    ["bucket", "docs", "rows", "at", "sizes", "text"])
+                yield _covered(doc[copy], rows[row[copy]], place[copy], (place + end - first)[copy], spread)
+        if size:
+            yield from flush()
     return run
 
 
@@ -294,8 +324,8 @@ def earlier(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int)
     begin, counts = np.cumsum(sizes) - sizes, sizes - length + 1
     owner = np.repeat(np.arange(len(sizes)), counts)
     at = _spread(begin, counts)
-    rank, doc = suffix_ranks(data, sizes, length)[at], docs[owner]
-    order = np.lexsort((doc, rank))
+    rank, doc = suffix_ranks(data, sizes, length)[at], _ranks(docs)[owner]
+    order = np.argsort(rank << np.uint64(32) | doc)
     rank, ordered = rank[order], doc[order]
     run = np.maximum.accumulate(np.where(np.append(True, rank[1:] != rank[:-1]), np.arange(len(rank)), 0))
     found = np.empty(len(rank), bool)
@@ -303,8 +333,8 @@ def earlier(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int)
     return owner[found], (at - begin[owner])[found]
 
 
-def _settle(length: int):
-    """Covered spans of the stretches of a task, by document."""
+def _settle(length: int, spread: int):
+    """Covered spans of the stretches of a task, by bucket of documents."""
     def close(docs: np.ndarray, rows: np.ndarray, at: np.ndarray, sizes: np.ndarray, data: np.ndarray):
         begin = np.cumsum(sizes) - sizes
         names = span_hash(prefix_hash(data), begin, begin + sizes)
@@ -312,8 +342,13 @@ def _settle(length: int):
         docs, rows, at, sizes, begin = docs[order], rows[order], at[order], sizes[order], begin[order]
         later = docs > docs[lead]
         yield docs[later], rows[later], at[later], (at + sizes)[later]
-        # windows of distinct stretches, those of a key together
-        head = starts[np.argsort(window_keys(data, length)[begin[starts]], kind="stable")]
+        # windows of distinct stretches of keys that have several
+        keys = window_keys(data, length)[begin[starts]]
+        head = np.argsort(keys, kind="stable")
+        same = keys[head][1:] == keys[head][:-1]
+        head = starts[head[np.append(False, same) | np.append(same, False)]] if len(head) else starts
+        if not len(head):
+            return
         own, least = sizes[head], docs[head]
         text = data[_spread(begin[head], own)]
         who, place = earlier(text, own, least, length)
@@ -332,7 +367,7 @@ def _settle(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[], [], [], []]
-        gathered, own, current = 0, [], None
+        gathered, own, single, current = 0, [], [], None
 
         def add(found: tuple) -> None:
             nonlocal gathered
@@ -345,6 +380,12 @@ def _settle(length: int):
                 for found in close(*[np.concatenate(c) for c in zip(*own, strict=True)]):
                     add(found)
                 own.clear()
+            if single:
+                names, docs, rows, at = (np.concatenate(c) for c in zip(*single, strict=True))
+                order, _, lead = _first_of(names, docs)
+                use = order[docs[order] > docs[order][lead]]
+                add((docs[use], rows[use], at[use], at[use] + length))
+                single.clear()
 
         for batch in batches:  # by bucket, so that one is held at a time
             for i, bucket in enumerate(batch["bucket"].to_pylist()):
@@ -352,19 +393,22 @@ def _settle(length: int):
                     settle()
                     current = bucket
                     if gathered >= GATHERED:
-                        yield _cover_rows(*[np.concatenate(c) for c in out])
+                        yield _pack_covers(spread, *[np.concatenate(c) for c in out])
                         out, gathered = [[], [], [], []], 0
                 docs, rows, at, sizes = (
                     np.array(batch[c][i].values, np.int64) for c in ("docs", "rows", "at", "sizes"))
                 if len(sizes) and sizes[0] < 0:
                     add((docs, rows, at, at - sizes))
+                elif len(sizes) and sizes[0] == 0:
+                    single.append([np.frombuffer(pa.decompress(
+                        batch["text"][i].as_py(), 8 * len(docs), "zstd", asbytes=True), np.uint64), docs, rows, at])
                 else:
                     data = np.frombuffer(pa.decompress(
                         batch["text"][i].as_py(), int(sizes.sum()), "zstd", asbytes=True), np.uint8)
                     own.append([docs, rows, at, sizes, data])
         settle()
         if gathered:
-            yield _cover_rows(*[np.concatenate(c) for c in out])
+            yield _pack_covers(spread, *[np.concatenate(c) for c in out])
     return run
 
 
@@ -397,21 +441,22 @@ def _cut(length: int):
     return run
 
 
-def deduplicate(docs: DataFrame, length: int = 50, hot: int = HOT, reported: int = REPORTED) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 50, hot: int = OFTEN, told: int = TOLD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
     Removed is each byte covered by a string of ``length`` bytes that also starts in a document with a
     smaller doc_id, judged on the input; n_spans counts maximal removed runs. Null and empty texts have
     0 bytes; texts shorter than ``length`` stay whole. Rows of one doc_id, repeated ones too, are not
     earlier than each other; a row with a null doc_id is earlier than none, later than none, and stays
-    whole. k-mers of ``hot`` documents or more, as tasks report them, are dealt out window by window.
+    whole. k-mers of ``hot`` documents or more are dealt out window by window, at most ``told`` of them.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.filter(F.col("doc_id").isNotNull())
-    often = hot_keys(known, length, hot, reported)
-    marked = meetings(known, _extract(length), KEY).groupBy("doc").agg(F.collect_list("x").alias("keys"))
+    found = stage(meetings(known, _extract(length), KEY, hot).select("kind", "doc", "x", "y"), "meetings")
+    often = hot_keys(found, told)
+    marked = found.filter(F.col("kind") == KEY).groupBy("doc").agg(F.collect_list("x").alias("keys"))
     # ids of texts that a smaller id has too, with those texts' hashes
     text_hash = F.xxhash64("text")
     same = known.groupBy(text_hash.alias("row"), F.md5(F.col("text").cast("binary")).alias("sum"))
@@ -425,10 +470,10 @@ def deduplicate(docs: DataFrame, length: int = 50, hot: int = HOT, reported: int
     flagged = dealt.join(copies.hint("merge"), F.col("doc_id") == F.col("copy_of"), "left")
     stretches = flagged.filter(~copy).join(marked.hint("merge"), F.col("doc_id") == F.col("doc")).select(
         "doc_id", "text", row, "keys").mapInArrow(_stretches(length, BUCKETS * n, often), _STRETCH)
-    settled = stretches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length), _COVER)
-    if len(often):
-        settled = settled.union(_hot_covers(known, length, often))
-    covers = settled.groupBy("doc").agg(F.collect_list(F.struct("row", "starts", "ends")).alias("covers"))
+    settled = stretches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _settle(length, 4 * n), _PACKED)
+    covers = settled.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack_covers, _COVER).groupBy(
+        "doc").agg(F.collect_list(F.struct("row", "starts", "ends")).alias("covers"))
     joined = flagged.join(covers.hint("merge"), F.col("doc_id") == F.col("doc"), "left").select(
         "doc_id", "text", row, copy, "covers")
     none = F.lit(None).cast(covers.schema["covers"].dataType).alias("covers")

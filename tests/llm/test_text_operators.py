@@ -6,11 +6,12 @@ import random
 import zlib
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runlumen.llm import (components, decontaminate, jaccard, lines, lm, mixing, quality, search, sharding,
-                          suffixes, tokens)
+from runlumen.llm import (components, decontaminate, jaccard, lines, lm, mixing, postings, quality, search,
+                          sharding, suffixes, tokens)
 
 
 def pairs(rows):
@@ -89,18 +90,20 @@ def test_suffix_dedup_of_hot_keys(spark, corpus, corpus_rows):
     line = "a line of forty-four bytes that many have..."
     rows = [(i, f"{rng.random()} {line} {rng.choice('abc')} {rng.random()}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    keys = suffixes.hot_keys(docs, 50, 200, 1)
-    assert len(keys)
+    found = postings.meetings(docs, suffixes._extract(50), postings.KEY, 200)
+    counts = {r["x"]: r["y"] for r in found.filter(F.col("kind") == postings.HOT).collect()}
+    own = collections.Counter()
+    for _, text in rows:
+        own.update(set(suffixes.window_keys(np.frombuffer(text.encode(), np.uint8), 50).view(np.int64).tolist()))
+    assert counts and counts == {k: n for k, n in own.items() if n >= 200}  # counted exactly
+    assert len(suffixes.hot_keys(found, 1)) == 1
     want = brute.suffix_dedup(rows, 50)
-    assert tuples(suffixes.deduplicate(docs, 50, hot=200, reported=1), *names) == want
-    assert tuples(suffixes.deduplicate(docs, 50), *names) == want
-    assert tuples(suffixes.deduplicate(corpus, 50, hot=2, reported=1), *names) == brute.suffix_dedup(
-        pairs(corpus_rows), 50)
+    for hot, told in ((200, 1000), (200, 1), (2, 1000), (suffixes.OFTEN, suffixes.TOLD)):
+        assert tuples(suffixes.deduplicate(docs, 50, hot=hot, told=told), *names) == want
+    assert tuples(suffixes.deduplicate(corpus, 50, hot=2), *names) == brute.suffix_dedup(pairs(corpus_rows), 50)
 
 
 def test_suffix_ranks_follow_suffix_order():
-    import numpy as np
-
     rng = random.Random(2)
     data = bytes(rng.choice(b"ab\x00\xff") for _ in range(400))
     ranks = suffixes.suffix_ranks(np.frombuffer(data, np.uint8), np.array([150, 250]), 20)
