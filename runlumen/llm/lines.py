@@ -1,10 +1,12 @@
 """Delete later repeats of runs of lines, found by winnowing.
 
-Lines are hashed. A run counts from ``run`` lines on, or from ``words`` words on. In every window of ``run`` lines the smallest hash is selected: two equal windows
-select the same one, so a repeated run shares a fingerprint for sure. Fingerprints that occur once end
-there. Windows of the others are joined to the first place that has the same lines; neighbouring matched
-windows extend each other, which carries a match both ways to its full length, and the lines they cover
-are deleted. The first copy, by document and place, stays.
+Lines are hashed. A run counts from ``run`` lines on, or from ``words`` words on. Every window of so many
+lines selects the place of its smallest hash as a fingerprint; neighbouring windows mostly select the
+same place, and equal windows select the same line of theirs, so a repeated run shares a fingerprint for
+sure. Places whose fingerprint occurs once end there. The others are extended both ways over the lines
+around them, to the windows that selected them, and joined to the first place with the same lines.
+Matched windows that overlap extend each other to the full length of a run, and the lines they cover are
+deleted. The first copy, by document and place, stays.
 
 Only DataFrame functions are used. A line that very many documents share gives one row for each place
 and a minimum that is pre-aggregated, never pairs of places.
@@ -26,34 +28,65 @@ def line_list(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def windows(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
-    """(doc, row, place, size, lines hashes of the window, fingerprint) of every window of ``run`` lines.
+def _chosen(lines: Column) -> Column:
+    """Place of the first smallest hash among ``lines``."""
+    return F.array_position(lines, F.array_min(lines)).cast("int")
 
-    With ``words`` also those of fewer lines that hold so many words together.
+
+def _between(low: Column, high: Column) -> Column:
+    return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def _held(counts: Column, start: Column, size: int) -> Column:
+    return F.aggregate(F.slice(counts, start, size), F.lit(0).cast("long"), lambda n, x: n + x)
+
+
+def fingerprints(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
+    """(doc, row, place, mark, begin, around, held) of every place that a window of ``run`` lines selects.
+
+    With ``words`` also of those that windows of fewer lines select which hold so many words together.
+    ``around`` are the hashes of the lines, from ``begin`` on, that a window with this place can reach, and
+    ``held`` their words.
     """
     hashes = F.transform(line_list(F.col("text")), lambda x: F.xxhash64(x))
     held = F.transform(line_list(F.col("text")), n_words) if words is not None else F.lit(None).cast("array<long>")
     listed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), hashes.alias("hashes"),
                          held.alias("held"))
 
-    def spots(size: int) -> Column:
-        return F.when(F.size("hashes") >= size, F.sequence(F.lit(1), F.size("hashes") - (size - 1))).otherwise(
-            F.array().cast("array<int>"))
+    def selected(size: int) -> Column:
+        starts = _between(F.lit(1), F.size("hashes") - (size - 1))
+        if size < run:
+            starts = F.filter(starts, lambda i: _held(F.col("held"), i, size) >= words)
+        return F.transform(starts, lambda i: i + _chosen(F.slice("hashes", i, size)) - 1)
 
-    def cut(size: int) -> Column:
-        return F.transform(spots(size), lambda i: F.struct(
-            i.alias("place"), F.lit(size).alias("size"), F.slice("hashes", i, size).alias("lines")))
+    sizes = range(1 if words is not None else run, run + 1)
+    places = listed.select("*", F.explode(F.array_distinct(F.concat(*map(selected, sizes)))).alias("place"))
+    begin = F.greatest(F.lit(1), F.col("place") - (run - 1))
+    reach = F.col("place") + run - begin
+    return places.select("doc", "row", "place", F.element_at("hashes", F.col("place")).alias("mark"),
+                         begin.alias("begin"), F.slice("hashes", begin, reach).alias("around"),
+                         F.slice("held", begin, reach).alias("held"))
+
+
+def extend(found: DataFrame, run: int, words: int | None = None) -> DataFrame:
+    """(doc, row, place, size, lines) of the windows that selected the places of ``found``.
 
-    def enough(size: int) -> Column:
-        def whole(w: Column) -> Column:
-            return F.aggregate(F.slice("held", w["place"], size), F.lit(0).cast("long"), lambda n, x: n + x) >= words
-        return F.filter(cut(size), whole)
+    A window selects one place, so it comes out once at most.
+    """
+    at = F.col("place") - F.col("begin") + 1
+
+    def cut(size: int) -> Column:
+        starts = _between(F.greatest(F.lit(1), at - (size - 1)), F.least(at, F.size("around") - (size - 1)))
+        starts = F.filter(starts, lambda i: i + _chosen(F.slice("around", i, size)) - 1 == at)
+        if size < run:
+            starts = F.filter(starts, lambda i: _held(F.col("held"), i, size) >= words)
+        return F.transform(starts, lambda i: F.struct(
+            (F.col("begin") + i - 1).alias("place"), F.lit(size).alias("size"),
+            F.slice("around", i, size).alias("lines")))
 
-    short = [enough(size) for size in range(1, run)] if words is not None else []
-    found = listed.select("doc", "row", F.explode(F.concat(*short, cut(run))).alias("w"))
-    # windows of one size share marks only among themselves
-    mark = F.when(F.col("w.size") == run, F.array_min("w.lines")).otherwise(F.xxhash64("w.lines"))
-    return found.select("doc", "row", "w.place", "w.size", "w.lines", mark.alias("mark"))
+    sizes = range(1 if words is not None else run, run + 1)
+    return found.select("doc", "row", F.explode(F.concat(*map(cut, sizes))).alias("w")).select(
+        "doc", "row", "w.place", "w.size", "w.lines")
 
 
 def deduplicate(docs: DataFrame, run: int = 2, words: int | None = WORDS) -> DataFrame:
@@ -68,11 +101,11 @@ def deduplicate(docs: DataFrame, run: int = 2, words: int | None = WORDS) -> Dat
     nor changed.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = windows(texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), run, words)
+    found = fingerprints(texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), run, words)
     at = F.struct("doc", "row", "place")
     repeated = found.select("mark", "doc", "row", "place").groupBy("mark").agg(
         F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("mark")
-    marked = found.join(repeated, "mark", "left_semi")
+    marked = extend(found.join(repeated, "mark", "left_semi"), run, words)
     firsts = marked.groupBy("lines").agg(F.min(at).alias("first"))
     later = marked.join(firsts, "lines").filter(at > F.col("first")).select(
         "doc", "row", F.struct("place", "size").alias("span"))

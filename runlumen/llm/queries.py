@@ -94,11 +94,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without later repeats of runs of two lines or more.
-
-    Its SQL check states that rule, so single long lines (``words``) are left out here.
-    """
-    return lines.deduplicate(table(spark, sf_dir, "documents"), run=2, words=None).select(
+    """All documents without later repeats of runs of two lines or more, or of one line of 50 words or more."""
+    return lines.deduplicate(table(spark, sf_dir, "documents"), run=2, words=50).select(
         "doc_id", "n_lines", "n_removed", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 
@@ -111,9 +108,12 @@ w AS (
 o AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, i) > 1 AS again
   FROM w WHERE line2 IS NOT NULL),
+a AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS again
+  FROM l WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50),
 g AS (
   SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM o WHERE again
-    UNION ALL SELECT doc_id, i + 1 FROM o WHERE again))
+    UNION ALL SELECT doc_id, i + 1 FROM o WHERE again UNION ALL SELECT doc_id, i FROM a WHERE again))
 SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
   md5(coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_md5
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id

@@ -163,6 +163,25 @@ def test_line_dedup_of_long_lines(spark):
     assert all(r["n_removed"] == 0 for r in lines.deduplicate(docs, 3, words=None).collect())
 
 
+@pytest.mark.parametrize("run, words", [(1, None), (2, 3), (4, 5)])
+def test_line_fingerprints(spark, run, words):
+    rng = random.Random(run)
+    rows = [(i, "\n".join(rng.choice(["a", "b b", "c d e", ""]) if rng.random() < 0.6 else f"line {rng.random()}"
+                          for _ in range(rng.randint(1, 25)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.fingerprints(docs, run, words)
+    cut = sorted((r["doc"], r["place"], r["size"]) for r in lines.extend(found, run, words).collect())
+    want = []
+    for d, t in rows:
+        own = [len(x.split()) for x in t.split("\n")]
+        for size in range(1 if words else run, run + 1):
+            want += [(d, i + 1, size) for i in range(len(own) - size + 1)
+                     if size == run or sum(own[i:i + size]) >= words]
+    assert cut == sorted(want)  # every window once, by way of the place it selects
+    places = [(r["doc"], r["place"]) for r in found.collect()]
+    assert len(places) == len(set(places)) <= len(want)
+
+
 def test_line_dedup_odd_rows(odd, empty):
     rows = lines.deduplicate(odd).collect()
     assert len(rows) == 8 and all(r["n_removed"] == 0 for r in rows)
