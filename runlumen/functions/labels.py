@@ -48,14 +48,16 @@ def path_safe(path: Column) -> Column:
     """Relative, no backslash, no ``..`` part, at most 1024 UTF-8 bytes."""
     bounded = (F.octet_length(path) > 0) & (F.octet_length(path) <= MAX_PATH_BYTES)
     # "." and empty parts vanish in a normalized path; a path made of nothing else names no file
-    return bounded & ~F.contains(path, F.lit("\\")) & ~path.rlike(r"^/|(^|/)\.\.(/|$)")
+    climbs = F.contains(path, F.lit("..")) & path.rlike(r"(^|/)\.\.(/|$)")
+    return bounded & ~F.contains(path, F.lit("\\")) & ~F.startswith(path, F.lit("/")) & ~climbs
 
 
 def normal_path(path: Column) -> Column:
     """Collapse empty and ``.`` parts; the empty result is written as ``.``."""
     once = F.regexp_replace(path, r"(^|/)(\./|/)+", "$1")
     tail = F.regexp_replace(once, r"(^|/)\.?$", "")
-    return F.when(tail == "", F.lit(".")).otherwise(tail)
+    # one look tells whether either pattern finds anything
+    return F.when(~path.rlike(r"(^|/)\.?(/|$)"), path).when(tail == "", F.lit(".")).otherwise(tail)
 
 
 def basename(path: Column) -> Column:

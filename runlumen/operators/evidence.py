@@ -30,25 +30,35 @@ PRIMARIES = {"manifest.json": "MANIFEST", "run_results.json": "RUN_RESULTS"}
 BLOCK = 4096
 
 
-def scanned(members: DataFrame) -> DataFrame:
-    """All members with normalized path, position in the attempt, running size and earlier copies."""
+def scanned(members: DataFrame, own: dict[str, Column] | None = None) -> DataFrame:
+    """All members with normalized path, position in the attempt, running size and earlier copies.
+
+    Members meet twice: by path, to find earlier copies, and by block. ``own`` names facts of the
+    member's own row; then only those travel, and not the texts they are made of.
+    """
     size = F.when(F.col("kind") == "file", F.col("declared_size")).otherwise(F.lit(0))
-    rows = members.withColumns({
-        "normal": normal_path(F.col("path")), "block": F.floor(F.col("seq") / BLOCK), "bytes": size})
+    rows = members.withColumns({"block": F.floor(F.col("seq") / BLOCK), "bytes": size})
+    if "normal" not in rows.columns:
+        rows = rows.withColumn("normal", normal_path(F.col("path")))
     sums = rows.groupBy(*KEY, "block").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
     earlier = Window.partitionBy(*KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *KEY, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("members_before"),
         F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("bytes_before"))
-    firsts = rows.groupBy(*KEY, "normal").agg(F.min("seq").alias("first_seq"))
+    if own is not None:
+        rows = rows.select(*KEY, "seq", "normal", "block", "bytes", *(c.alias(n) for n, c in own.items()))
+    so_far = Window.partitionBy(*KEY, "normal").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.filter(F.col("normal").isNotNull() & F.col("block").isNotNull()).withColumn(
+        "repeated", F.col("seq") > F.min("seq").over(so_far))
+    if own is not None:
+        marked = marked.drop("normal")
     inside = Window.partitionBy(*KEY, "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumns({
+    counted = marked.withColumns({
         "nth": F.count("*").over(inside), "sum_bytes": F.sum("bytes").over(inside)})
     return (
-        counted.join(offsets, [*KEY, "block"]).join(firsts, [*KEY, "normal"])
+        counted.join(offsets, [*KEY, "block"])
         .withColumn("position", F.col("members_before") + F.col("nth"))
         .withColumn("expanded_bytes", F.col("bytes_before") + F.col("sum_bytes"))
-        .withColumn("repeated", F.col("seq") > F.col("first_seq"))
     )
 
 
@@ -61,12 +71,20 @@ def log_path(normal: Column, key: Column, include_deps: Column, root: str) -> Co
         include_deps | F.startswith(tail, F.lit("/001-build/")))
 
 
+def with_roles(rows: DataFrame, root: str = "target/attempts/") -> DataFrame:
+    """Members with their base name and whether they are a governed log file or a primary."""
+    named = rows.withColumns({
+        "base": basename(F.col("normal")),
+        "is_log": log_path(F.col("normal"), F.col("attempt_key"), F.col("include_deps"), root)})
+    return named.withColumn(
+        "is_primary", (F.col("kind") == "file") & F.col("base").isin(list(PRIMARIES)) & ~F.col("is_log"))
+
+
 def member_codes(root: str = "target/attempts/") -> dict[str, Column]:
-    """Ordered conditions per member over ``scanned`` rows; the first that holds is its code."""
-    normal, name = F.col("normal"), basename(F.col("normal"))
-    is_log = log_path(normal, F.col("attempt_key"), F.col("include_deps"), root)
+    """Ordered conditions per member over ``scanned`` rows with roles; the first that holds is its code."""
+    normal, name, is_log = F.col("normal"), F.col("base"), F.col("is_log")
     is_dir, is_file = F.col("kind") == "dir", F.col("kind") == "file"
-    primary = is_file & ~is_log & name.isin(list(PRIMARIES))
+    primary = F.col("is_primary")
     expected = F.concat(F.lit(root), F.col("attempt_key"), F.lit("/001-build/artifacts/"), name)
     codes = {
         "DBT_ARCHIVE_MEMBER_LIMIT_EXCEEDED": F.col("position") > MAX_MEMBERS,
@@ -101,7 +119,7 @@ def breaking(members: DataFrame, codes: list[str], root: str = "target/attempts/
     rules, hit = member_codes(root), F.lit(False)
     for code in codes:
         hit = hit | rules[code]
-    return rows.filter(hit)
+    return with_roles(rows, root).filter(hit)
 
 
 def member_code(root: str = "target/attempts/") -> Column:
@@ -110,13 +128,44 @@ def member_code(root: str = "target/attempts/") -> Column:
 
 
 def first_violation(members: DataFrame, root: str = "target/attempts/") -> DataFrame:
-    """Per attempt the earliest violation in member order and the members up to it, or all of them."""
-    coded = scanned(members).withColumn("code", member_code(root))
-    bad = F.when(F.col("code").isNotNull(), F.col("position"))
-    return coded.groupBy(*KEY).agg(
-        F.min_by("code", bad).alias("issue_code"),
-        F.coalesce(F.min(bad), F.count("*")).alias("member_count"),
-    )
+    """Per attempt the earliest violation in member order and the members up to it, or all of them.
+
+    Rules on a member's own row are judged before members meet: by the number of the first one that
+    is broken between two positional rules.
+    """
+    rules = member_codes(root)
+    order = list(rules)
+    own, groups, at = {"is_file": F.col("kind") == "file"}, [], []
+    for code in [*order, None]:
+        if code is not None and code not in POSITIONAL:
+            at.append(code)
+            continue
+        if at:
+            name = f"own_{len(groups)}"
+            own[name] = F.coalesce(*(
+                F.when(rules[c], F.lit(order.index(c)).cast("tinyint")) for c in at))
+            groups.append(F.col(name))
+            at = []
+        if code is not None:
+            groups.append(code)
+    positional = {
+        "DBT_ARCHIVE_MEMBER_LIMIT_EXCEEDED": F.col("position") > MAX_MEMBERS,
+        "DBT_ARCHIVE_MEMBER_DUPLICATE": F.col("repeated"),
+        "DBT_ARCHIVE_EXPANDED_SIZE_LIMIT_EXCEEDED":
+            F.col("is_file") & (F.col("expanded_bytes") > MAX_EXPANDED_BYTES),
+    }
+    broken = F.coalesce(*(
+        F.when(positional[g], F.lit(order.index(g)).cast("tinyint")) if isinstance(g, str) else g
+        for g in groups))
+    judged = with_roles(members.withColumn("normal", normal_path(F.col("path"))), root)
+    coded = scanned(judged, own).withColumn("broken", broken)
+    bad = F.when(F.col("broken").isNotNull(), F.col("position"))
+    first = coded.groupBy(*KEY).agg(
+        F.count("*").alias("n"), F.min(bad).alias("first_bad"), F.min_by("broken", bad).alias("broken"))
+    names = F.array(*(F.lit(code) for code in order))
+    return first.select(
+        *KEY, F.get(names, F.col("broken").cast("int")).alias("issue_code"),
+        F.coalesce("first_bad", "n").alias("member_count"))
 
 
 def primary_facts(members: DataFrame, root: str = "target/attempts/") -> DataFrame:
@@ -132,6 +181,16 @@ def primary_facts(members: DataFrame, root: str = "target/attempts/") -> DataFra
     return members.groupBy(*KEY).agg(*aggregates)
 
 
+def primary_presence(members: DataFrame, root: str = "target/attempts/") -> DataFrame:
+    """Whether each primary of an attempt has a hash; ``primary_facts`` without the hashes."""
+    at = F.concat(F.lit(root), F.col("attempt_key"), F.lit("/001-build/artifacts/"))
+    return members.groupBy(*KEY).agg(*(
+        F.bool_or((F.col("path") == F.concat(at, F.lit(name))) & (F.col("kind") == "file")
+                  & F.col("content_sha256").isNotNull()).alias(f"has_{label}")
+        for name, label in (("manifest.json", "manifest"), ("run_results.json", "results")))
+    ).select(*KEY, *(F.coalesce(c, F.lit(False)).alias(c) for c in ("has_manifest", "has_results")))
+
+
 def manifest_standalone() -> Column:
     """A manifest without results is accepted when every rule about it alone holds."""
     versions = {

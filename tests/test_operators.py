@@ -259,6 +259,24 @@ def test_rules_on_the_row_itself_do_not_shuffle(tables):
     assert "CartesianProduct" not in counts
 
 
+def test_first_violation_sends_no_member_twice_by_text(spark):
+    """Members with repeats, odd paths and no sequence number; only paths meet by text, once."""
+    rows = [("k", 1, "compiled/a.sql", 5), ("k", 2, "x/./y", 5), ("k", 3, "x//y", 5), ("k", 2, "z", 5),
+            ("m", 1, "ok", 5), ("m", None, "../lost", 5), ("n", 1, "big", 600_000_000), ("n", 2, "../up", 1),
+            ("o", 4097, "late", 1), ("o", 1, "late", 1), ("p", 1, "../up", 1)]
+    members = spark.createDataFrame(
+        rows, "attempt_key string, seq long, path string, declared_size long").selectExpr(
+        "ascii(attempt_key) AS dbt_task_run_id", "seq", "path", "'file' AS kind", "declared_size",
+        "declared_size AS read_size", "attempt_key", "true AS include_deps")
+    found = members_evidence.first_violation(members)
+    shuffles = [line for line in plan_of(found).splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("normal" in line for line in shuffles) == 1
+    assert {chr(r[0]): (r[1], r[2]) for r in found.collect()} == {
+        "k": ("DBT_ARCHIVE_MEMBER_DUPLICATE", 4), "m": (None, 1),
+        "n": ("DBT_ARCHIVE_EXPANDED_SIZE_LIMIT_EXCEEDED", 1), "o": ("DBT_ARCHIVE_MEMBER_DUPLICATE", 2),
+        "p": ("DBT_ARCHIVE_PATH_UNSAFE", 1)}
+
+
 def test_tables_are_created_once_and_verified(spark):
     database = "contract_tables"
     catalog.create_tables(spark, database, "v1", 2)
