@@ -33,3 +33,19 @@ def test_generations_and_chains_need_no_shuffle(spark, customers, tmp_path):
     stored = ledger_data.stored_ledger(spark, str(tmp_path))
     for df in (stored.groupBy(*led.GENERATION).count(), led.validated(stored)):
         assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_event_readback_counts_values_and_repeats_no_row(spark):
+    rows = [("a", "p", "s", "r"), ("a", "p", "s", "r"), ("a", "q", "s", None), ("b", None, None, None),
+            (None, "p", "s", "r"), (None, "p", "t", "r")]
+    shown = spark.createDataFrame(
+        rows, "event_id string, payload_digest string, server_record_digest string, ledger_row_id string"
+    ).withColumns({c: F.lit(None).cast(k) for c, k in (
+        ("snapshot_id", "string"), ("statement_evaluated_at", "timestamp"), ("valid_until", "timestamp"))})
+    found = led.event_readback(shown)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 1
+    counts = {r["event_id"]: (r["physical_row_count"], r["payload_digest"], r["distinct_payload_count"],
+                              r["distinct_server_record_count"], r["distinct_ledger_row_count"])
+              for r in found.collect()}
+    assert counts == {"a": (3, "p", 2, 1, 1), "b": (1, None, 0, 0, 0), None: (2, "p", 1, 2, 1)}
