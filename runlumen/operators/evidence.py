@@ -73,9 +73,11 @@ def log_path(normal: Column, key: Column, include_deps: Column, root: str) -> Co
 
 def with_roles(rows: DataFrame, root: str = "target/attempts/") -> DataFrame:
     """Members with their base name and whether they are a governed log file or a primary."""
-    named = rows.withColumns({
-        "base": basename(F.col("normal")),
-        "is_log": log_path(F.col("normal"), F.col("attempt_key"), F.col("include_deps"), root)})
+    base = basename(F.col("normal"))
+    # only such names can be one; unknown keys stay unknown
+    asked = F.startswith(base, F.lit("dbt.log")) | F.col("attempt_key").isNull() | F.col("include_deps").isNull()
+    governed = log_path(F.col("normal"), F.col("attempt_key"), F.col("include_deps"), root)
+    named = rows.withColumns({"base": base, "is_log": F.when(asked, governed).otherwise(F.lit(False))})
     return named.withColumn(
         "is_primary", (F.col("kind") == "file") & F.col("base").isin(list(PRIMARIES)) & ~F.col("is_log"))
 
