@@ -63,7 +63,7 @@ SELECT r.workspace_id, r.dbt_task_run_id, sha256({_BODY}) AS record_digest
 FROM registry r LEFT JOIN folded USING (workspace_id, dbt_task_run_id)
 LEFT JOIN invocations i USING (workspace_id, dbt_task_run_id, normalized_digest)""")
 def _(t):
-    return publish.record_digests(t.registry, t.invocations, t.nodes)
+    return publish.record_digests(t.registry_by_run, t.invocations, t.nodes)
 
 
 _JOINED = """FROM root_source s LEFT JOIN root_target t ON t.workspace_id = s.workspace_id
