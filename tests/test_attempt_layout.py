@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from runlumen.operators import publish
+from runlumen.operators import pairs, publish
 from runlumen.plans.book import Tables
 from runlumen.schemas import REGISTRY_COLUMNS
 
@@ -81,3 +81,25 @@ def test_root_update_as_a_full_join_says_it(spark):
         F.when(fill, carried if c == "first_discovered_at" else F.col("s_" + c)).otherwise(F.col("t_" + c)).alias(c)
         for c in columns))
     assert _rows(publish.root_update(target, source)) == _rows(expected)
+
+
+def test_manifest_entries_come_from_one_pass(tables):
+    plan = tables.inventory._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Aggregate [") == 1
+
+
+def test_projection_joins_accepted_results_once(spark):
+    keys = ["dbt_task_run_id"]
+    verdicts = spark.createDataFrame([(1, "PAIR_VALID"), (2, "PAIR_INVALID")], "dbt_task_run_id long, pair_state string")
+    meta = spark.createDataFrame([(1, "i1"), (2, "i2")], "dbt_task_run_id long, run_results_invocation string")
+    results = spark.createDataFrame(
+        [(1, "a", "success", 1.0, None), (1, "a", "error", 2.0, None), (1, None, "success", 1.0, None),
+         (1, "b", "pass", 1.0, 0), (2, "a", "success", 1.0, None)],
+        "dbt_task_run_id long, unique_id string, status string, execution_time double, failures long")
+    entries = spark.createDataFrame(
+        [(1, "nodes", "a", "a", "model")],
+        "dbt_task_run_id long, collection string, map_key string, inner_id string, resource_type string")
+    found = pairs.project(verdicts, meta, results, entries, keys)
+    assert sorted((r["unique_id"], r["resource_type"], r["status"], r["invocation_id"]) for r in found.collect()) == [
+        ("a", "model", "error", "i1"), ("a", "model", "success", "i1"), ("b", None, "pass", "i1")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
