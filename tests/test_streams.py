@@ -151,3 +151,27 @@ def test_bytes_that_are_not_utf8_are_a_verdict(spark):
     assert found[2]["run_results_parse"] != "OK"
     assert artifacts.result_rows(raw, ["dbt_task_run_id"]).count() == 0
     assert artifacts.inventory_rows(raw, ["dbt_task_run_id"]).count() == 0
+
+
+def test_batches_of_documents_are_bounded_by_bytes_and_adaptive(spark, tmp_path, monkeypatch):
+    key = "w1-j30-r100000-t{}-p0-e1"
+    for i in range(1, 1102):
+        folder = tmp_path / "stage/incoming" / key.format(i) / "001-build/artifacts"
+        folder.mkdir(parents=True)
+        (folder / "manifest.json").write_bytes(b"{}")
+    seen, tasks = [], []
+
+    def documents(files, custody, number):
+        seen.append(files.count())
+        tasks.append(files.rdd.getNumPartitions())
+        assert files.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+        return ingest_documents(files, custody, number).limit(0)
+
+    ingest_documents = ingest.documents
+    monkeypatch.setattr(ingest, "documents", documents)
+    monkeypatch.setattr(ingest, "publish", lambda *rows: None)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    stream = evidence.stream_files(spark, str(tmp_path / "stage"))
+    ingest.drain_evidence(stream, str(tmp_path / "custody"), None, None, None, F.lit(None), str(tmp_path / "ck"))
+    assert seen == [1101] and tasks[0] < 1101 / 32
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
